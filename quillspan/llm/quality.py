@@ -36,7 +36,7 @@ _END = r"[.!?:;。！？：；…\"”»’')\]*_`>]"
 
 FEATURES = (
     "words", "mean_word_length", "symbol_share", "digit_share", "punct_line_share", "common_share",
-    "marked_line_share", "words_per_line", "kana_share", "visible",
+    "marked_line_share", "words_per_line", "kana_share", "separators_per_word", "commas_per_word",
 )
 
 
@@ -69,6 +69,8 @@ def with_statistics(documents: DataFrame, common: DataFrame, text: str = "text")
             "__marks": count(r"(?m)^[ \t]*(?:[-*+•–][ \t]|[0-9]+(?:\.[0-9]+)*[.)]?[ \t]|\[[^\]\n]*\][ \t]*$|\||```)"),
             "__common": F.size(F.filter("__w", lambda w: w.isin(words))) if words else F.lit(0),
             "__kana": kept(r"[^ぁ-ゖ]+"),
+            "__separators": count(r"\t|;| [/|·•] "),
+            "__commas": kept(r"[^,]+"),
         }
     )
 
@@ -85,12 +87,20 @@ def with_statistics(documents: DataFrame, common: DataFrame, text: str = "text")
             "marked_line_share": share("__marks", "__lines"),
             "words_per_line": share("words", "__lines"),
             "kana_share": share("__kana", "visible"),
+            "separators_per_word": share("__separators", "words"),
+            "commas_per_word": share("__commas", "words"),
         }
-    ).drop("__t", "__w", "__letters", "__symbols", "__digits", "__lines", "__ends", "__marks", "__common", "__kana")
+    ).drop("__t", "__w", "__letters", "__symbols", "__digits", "__lines", "__ends", "__marks", "__common", "__kana", "__separators", "__commas")
 
 
 #: Learned, in order: a document that one of these holds for isn't natural prose.
-RULES: list = []
+RULES: list = [
+    (("common_share", "<=", 0.3465), ("symbol_share", ">", 0.0837), ("words_per_line", "<=", 11.4167)),
+    (("commas_per_word", "<=", 0.0015), ("kana_share", "<=", 0.2161), ("common_share", "<=", 0.2206)),
+    (("marked_line_share", ">", 0.9286), ("words", "<=", 230.0)),
+    (("commas_per_word", ">", 0.3556), ("common_share", "<=", 0.1875)),
+    (("separators_per_word", ">", 0.0375), ("punct_line_share", "<=", 0.1833)),
+]
 
 
 def classified(documents: DataFrame, common: DataFrame, text: str = "text") -> DataFrame:
@@ -141,11 +151,14 @@ def prose_share(text: str | None, common: set[str]) -> float:
                     end_run()
                 continue
         s = re.sub(r"^>+\s*", "", s)
-        if re.fullmatch(r"\[[^\]]*\]", s) or s.count("|") >= 2 or s.count("\t") >= 3 or s.count(";") >= 3 or s.count(" / ") >= 2 or re.search(r"\.{4,}|[{}=]|\w\(|^\S+: \d+$|^<", s):
+        words = re.findall(r"[^\W\d_]+", s.lower())
+        running = len(words) >= 4 and sum(w in known for w in words) >= 0.25 * len(words) and s.count(" / ") < 2
+        parted = s.count("|") >= 2 or s.count("\t") >= 2 or s.count(";") >= 3 or s.count(" / ") >= 2 or len(re.findall(r", [\d.]", s)) >= 2
+        if re.fullmatch(r"\[[^\]]*\]", s) or (parted and not running) or re.search(r"\.{4,}|[{}=]|\w\(|^\S+: \d+$|^if \(", s):
             end_run()
             continue
         run.append(s)
-        if len(run) > 1 and all(len(x.split()) <= 3 for x in run[-2:]):
+        if len(run) > 1 and all(len(x.split()) <= 3 and len(x) < 40 for x in run[-2:]) and not re.search("[.?!。]$", s):
             run.clear()
     end_run()
     return good / _visible(t)
@@ -153,7 +166,7 @@ def prose_share(text: str | None, common: set[str]) -> float:
 
 def p8_stats(spark, sf_dir: str) -> DataFrame:
     d = with_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
-    return d.select("doc_id", *FEATURES)
+    return d.select("doc_id", "visible", *FEATURES)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
@@ -183,7 +196,9 @@ def fit(spark, sf_dir: str, labelled: int = LABELLED):
     y = np.array([prose_share(t, known) < 0.5 for t in rows["text"]])
     x = {f: rows[f].to_numpy(float) for f in FEATURES}
     own = np.arange(len(rows)) < min(labelled, len(rows) * 2 // 3)
-    rules = induce({f: v[own] for f, v in x.items()}, y[own])
+    seen = {f: v[own] for f, v in x.items()}
+    lists = [induce(seen, y[own], seed=seed) for seed in range(12)]
+    rules = min(lists, key=lambda r: ((predict(seen, r, int(own.sum())) != y[own]).sum(), len(r)))
     said = predict(x, rules, len(rows))
     wrong = rows["doc_id"][said != y].tolist()
     return rules, float((said == y)[~own].mean()), wrong
