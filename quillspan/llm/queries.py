@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("repeated_lines", "one_form", "leakage", "quality")
+MODULES = ("repeated_lines", "one_form", "leakage", "quality", "main_text")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _name in MODULES:
