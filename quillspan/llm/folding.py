@@ -101,3 +101,23 @@ def skeleton(folded: str) -> str:
         return folded
     table = _skeleton_table()
     return _LOOKALIKE.sub(lambda m: table[m[0]], folded)
+
+
+_CAPITALS = re.compile("[вкмнт]")
+_CAPITALS_AS = dict(zip("вкмнт", "bkmht", strict=True))
+
+
+def match_form(text: str) -> str:
+    """Folded, in lower case and with every look-alike (also of capitals) as its Latin letter.
+
+    For matching wording against patterns in the same form, never for output.
+    """
+    low = fold(text).lower()
+    if low.isascii():
+        return low
+    return _CAPITALS.sub(lambda m: _CAPITALS_AS[m[0]], skeleton(low))
+
+
+def pattern_form(pattern: str) -> str:
+    """A regular expression in lower case, for texts in :func:`match_form`; its escapes stay as they are."""
+    return _CAPITALS.sub(lambda m: _CAPITALS_AS[m[0]], skeleton(pattern))

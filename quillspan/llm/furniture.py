@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from quillspan.llm.folding import match_form, pattern_form
+
 MAX_CHARS = 260
 
 #: kind -> patterns, matched from the start of a line in lower case with single spaces.
@@ -190,14 +192,14 @@ ANYWHERE: tuple[tuple[str, str, str], ...] = (
     ("menu", "初めて使う", r".{1,60}を初めて使う方へ"),
 )
 
-_COMPILED = {kind: re.compile("|".join(p)) for kind, p in PATTERNS.items()}
-_ANY = re.compile("|".join(f"(?:{'|'.join(p)})" for p in PATTERNS.values()))
+_COMPILED = {kind: re.compile(pattern_form("|".join(p))) for kind, p in PATTERNS.items()}
+_ANY = re.compile(pattern_form("|".join(f"(?:{'|'.join(p)})" for p in PATTERNS.values())))
 _HELD = tuple((kind, text, re.compile(p)) for kind, text, p in ANYWHERE)
 _SPACE = re.compile(r"\s+")
 _TARGET = re.compile(r"\]\([^()\s]*\)")
 #: Remarks that belong to a section of the article.
 REMARK = re.compile(
-    r"(?:note|hinweis|remarque|nota|примечание|注意|注)\s?[:：]|the examples (?:in|of) this section\b|die beispiele in diesem abschnitt\b|les exemples de cette section\b|los ejemplos de esta sección\b|примеры (?:в|из) это(?:м|го) раздел|この節の例"
+    pattern_form(r"(?:note|hinweis|remarque|nota|примечание|注意|注)\s?[:：]|the examples (?:in|of) this section\b|die beispiele in diesem abschnitt\b|les exemples de cette section\b|los ejemplos de esta sección\b|примеры (?:в|из) это(?:м|го) раздел|この節の例")
 )
 
 
@@ -205,7 +207,7 @@ def normal(line: str) -> str:
     s = _SPACE.sub(" ", line).strip()
     if "](" in s:
         s = _TARGET.sub("", s).replace("[", "")
-    return s.lower().replace("'", "’")
+    return match_form(s).replace("'", "’")
 
 
 def is_furniture(line: str) -> bool:
