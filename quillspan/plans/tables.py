@@ -38,6 +38,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for costly per-row kernels.
+
+    A small input in one file comes as one task; it is shuffled once to fill the cores. An
+    input of as many splits as there are cores, the case at scale, is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 @atexit.register
 def _drop_written() -> None:
     for spark, path in _written:
