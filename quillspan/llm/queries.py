@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("repeated_lines", "one_form", "leakage", "quality", "main_text", "residue")
+MODULES = ("repeated_lines", "one_form", "leakage", "quality", "main_text", "residue", "tokens", "mixture")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _name in MODULES:
