@@ -223,13 +223,13 @@ def markdown_paths(spark, d):
 
 
 @query(
-    """SELECT page_id, CASE WHEN p = 'index' THEN '/' WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS url
+    """SELECT coalesce(page_id, -1) AS page_id, CASE WHEN p = 'index' THEN '/' WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS url
     FROM (SELECT page_id, regexp_replace(regexp_replace(f, '\\.html$', ''), '/index$', '') AS p FROM (
       SELECT page_id, [coalesce(file_path, ''), 'index.html', 'a/index.html', 'b/c.html'][coalesce(page_id, 0) % 4 + 1] AS f FROM crawl_results))"""
 )
 def file_urls(spark, d):
     f = F.element_at(F.array(F.coalesce("file_path", F.lit("")), F.lit("index.html"), F.lit("a/index.html"), F.lit("b/c.html")), (F.coalesce("page_id", F.lit(0)) % 4 + 1).cast("int"))
-    return table(spark, d, "crawl_results").select("page_id", url_columns.file_to_url(f).alias("url"))
+    return table(spark, d, "crawl_results").select(F.coalesce("page_id", F.lit(-1)).alias("page_id"), url_columns.file_to_url(f).alias("url"))
 
 
 _SITE = site_sql("origin", "url")
@@ -301,13 +301,13 @@ _NUMBERS = ["12", " +7 ", "4294967295", "4294967296", "-1", "0012", "1e3", "", "
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN n <= 4294967295 THEN n END AS number FROM (
+    f"""SELECT page_id, coalesce(CASE WHEN n <= 4294967295 THEN n END, -1) AS number FROM (
       SELECT page_id, CASE WHEN s <> '' AND length(regexp_replace(s, '^0+', '')) <= 10 THEN s::BIGINT END AS n FROM (
         SELECT page_id, regexp_extract({_NUMBERS}[page_id % {len(_NUMBERS)} + 1], '^[ \\t\\n\\f\\r]*\\+?([0-9]+)[ \\t\\n\\f\\r]*$', 1) AS s FROM pages))"""
 )
 def strict_numbers(spark, d):
     s = F.element_at(F.array(*map(F.lit, _NUMBERS)), (F.col("page_id") % len(_NUMBERS) + 1).cast("int"))
-    return pages(spark, d).select("page_id", text_columns.strict_u32(s).alias("number"))
+    return pages(spark, d).select("page_id", F.coalesce(text_columns.strict_u32(s), F.lit(-1)).alias("number"))
 
 
 @query(
@@ -437,14 +437,15 @@ def out_degrees(spark, d):
 def bfs_depth(spark, d):
     """Breadth-first waves from the sites' roots along their pages and links."""
     e = materialize(_edges(spark, d), "edges")
-    roots = e.where(F.col("src").rlike("^[a-z]+://[^/]+$")).join(e.select("dst"), F.col("src") == F.col("dst"), "left_anti").select(F.col("src").alias("url")).distinct()
+    starts = e.where(F.col("src").rlike("^[a-z]+://[^/]+$")).select(F.col("src").alias("url")).distinct()
+    roots = starts.join(e.select(F.col("dst").alias("url")), "url", "left_anti")
     return corpus.walk_links(e, roots, 3)
 
 
 @query(
     """WITH u AS (SELECT DISTINCT regexp_extract(url, '^([^?#]*)', 1) || '?v=' || (page_id % 9) AS url, page_id FROM pages),
-    f AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS path, url, min(page_id) AS at FROM u GROUP BY ALL)
-    SELECT url, n::INT AS n FROM (SELECT url, row_number() OVER (PARTITION BY path ORDER BY at, url) AS n FROM f) WHERE n <= 3"""
+    f AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS path, url, min(page_id) AS since FROM u GROUP BY ALL)
+    SELECT url, n::INT AS n FROM (SELECT url, row_number() OVER (PARTITION BY path ORDER BY since, url) AS n FROM f) WHERE n <= 3"""
 )
 def query_variants(spark, d):
     u = F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?v="), (F.col("page_id") % 9).cast("string"))
@@ -452,21 +453,21 @@ def query_variants(spark, d):
 
 
 @query(
-    """SELECT url, page_id, ts_ms, success FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY received_at, ts_ms, page_id NULLS FIRST, success, depth NULLS FIRST) AS n FROM crawl_results) WHERE n = 1"""
+    """SELECT url, coalesce(page_id, -1) AS page_id, ts_ms, success FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY received_at, ts_ms, page_id NULLS FIRST, success, depth NULLS FIRST) AS n FROM crawl_results) WHERE n = 1"""
 )
 def first_fetches(spark, d):
     """Of the results of one url the first received."""
     w = Window.partitionBy("url").orderBy("received_at", "ts_ms", F.col("page_id").asc_nulls_first(), "success", F.col("depth").asc_nulls_first())
-    return table(spark, d, "crawl_results").withColumn("n", F.row_number().over(w)).where("n = 1").select("url", "page_id", "ts_ms", "success")
+    return table(spark, d, "crawl_results").withColumn("n", F.row_number().over(w)).where("n = 1").select("url", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "ts_ms", "success")
 
 
 @query(
-    """SELECT coalesce(depth, -1) AS depth, count(*) AS n, count(*) FILTER (success) AS n_ok, sum(lag) AS total_ms, min(lag) AS least_ms, max(lag) AS most_ms
-    FROM (SELECT depth, success, epoch_ms(received_at) - ts_ms AS lag FROM crawl_results) GROUP BY 1"""
+    """SELECT coalesce(depth, -1) AS depth, count(*) AS n, count(*) FILTER (success) AS n_ok, sum(lag)::BIGINT AS total_ms, min(lag) AS least_ms, max(lag) AS most_ms
+    FROM (SELECT depth, success, epoch_us(received_at) // 1000 - ts_ms AS lag FROM crawl_results) GROUP BY 1"""
 )
 def crawl_latency(spark, d):
     """Counters and delays of a crawl by depth."""
-    lag = F.floor(F.unix_micros(F.col("received_at").cast("timestamp")) / 1000).cast("bigint") - F.col("ts_ms")
+    lag = F.expr("unix_micros(CAST(received_at AS timestamp)) div 1000 - ts_ms")
     r = table(spark, d, "crawl_results").select(F.coalesce("depth", F.lit(-1)).alias("depth"), "success", lag.alias("lag"))
     return r.groupBy("depth").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_ok"), F.sum("lag").alias("total_ms"), F.min("lag").alias("least_ms"), F.max("lag").alias("most_ms")
@@ -621,5 +622,5 @@ def stream_markdown(spark, d):
     pieces = p.select("doc_id", F.col("seq").cast("int").alias("seq"), F.substring("html", F.col("seq") * size + 1, F.lit(size)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
     pieces.repartition(3, "seq").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    run_once(convert_pieces(stream), f"{path}/run")
+    run_once(convert_pieces(stream, timeout_ms=None), f"{path}/run")
     return spark.read.schema("doc_id bigint, text string, complete boolean").parquet(f"{path}/run/out")

@@ -3,7 +3,9 @@
 The state of a document is its pieces so far, kept as received; the last piece releases the
 rendering, so the concatenated output equals the batch result for every way of cutting a text.
 Rules that need the whole document (dead fragments, frontmatter) need no special case. A document
-that never ends is evicted after a timeout, and comes out as far as it came.
+that never ends is evicted after ``timeout_ms``, and comes out as far as it came. A run to the
+end of what there is (``availableNow``) needs ``timeout_ms=None``: with a processing-time timeout
+Spark would go on with empty batches for ever.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from quillspan.operators.options import Options
 TIMEOUT_MS = 3_600_000
 
 
-def convert_pieces(pieces: DataFrame, output: str = "markdown", o: Options = Options(), timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+def convert_pieces(pieces: DataFrame, output: str = "markdown", o: Options = Options(), timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """From a stream of ``(doc_id bigint, seq int, piece string, is_last boolean)`` to ``(doc_id, text, complete)``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,7 +38,8 @@ def convert_pieces(pieces: DataFrame, output: str = "markdown", o: Options = Opt
         whole = last >= 0 and len(set(seqs)) > last
         if not whole and not state.hasTimedOut:
             state.update((seqs, texts, last))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
             return
         state.remove()
         once = dict(zip(seqs, texts, strict=True))  # a piece that was sent again counts once
@@ -45,7 +48,7 @@ def convert_pieces(pieces: DataFrame, output: str = "markdown", o: Options = Opt
 
     return pieces.groupBy("doc_id").applyInPandasWithState(
         step, "doc_id bigint, text string, complete boolean", "seqs array<int>, texts array<string>, last int",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
