@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from quillspan.operators import tags as T
 from quillspan.operators import urls
@@ -10,6 +11,7 @@ from quillspan.operators.dom import Node
 from quillspan.operators.options import Options
 from quillspan.operators.prepare import class_marks
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH elements, a few frames each
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _ALWAYS = re.compile(r"[\\*_~`\[]")
 _START = re.compile(r"(?:(#{1,6})(?=\s|$)|([-+])(?=\s|$)|(>)|(\d{1,9})([.)])(?=\s|$))")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from quillspan.operators import tags as T
 from quillspan.operators import urls
@@ -10,6 +11,7 @@ from quillspan.operators.dom import Node
 from quillspan.operators.markdown import _LANGUAGE, _SPACE, _integer, _Out, html_escape
 from quillspan.operators.options import Options
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH elements, a few frames each
 _LINE_BLOCKS = T._set("li dt dd tr caption summary option legend address")
 
 
