@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.folding import INVISIBLE_CLASS, fold, skeleton
-from quillspan.plans.tables import table
+from quillspan.plans.tables import spread, table
 
 MIN_WORDS = 12
 MAX_BLOCK_CHARS = 20_000_000
@@ -175,7 +175,7 @@ def leaked_passages(
     ``start`` and ``stop`` are offsets in ``text`` as stored (null where words were numbered lines),
     ``has_answer`` tells whether the item's answer stands in the document too.
     """
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    texts = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     parts = [texts.mapInArrow(_scan(block, min_words, "doc_id"), SCHEMA) for block in _blocks(items, max_block_chars)]
     out = parts[0]
     for p in parts[1:]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.furniture import is_furniture
 from quillspan.llm.page_text import Page, line_key
-from quillspan.plans.tables import table
+from quillspan.plans.tables import spread, table
 
 _TARGET = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _MARKED = re.compile(r"\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||```)")
@@ -148,20 +148,16 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_main_keys(pages: DataFrame) -> DataFrame:
     """``(page_id, main, rest)``: the keys of the lines in the main text and of those only outside; null without html."""
-    return pages.where("page_id IS NOT NULL").select("page_id", "html").mapInArrow(
+    return spread(pages.where("page_id IS NOT NULL").select("page_id", "html")).mapInArrow(
         _page_keys, "page_id bigint, main array<bigint>, rest array<bigint>"
     )
 
 
 def boilerplate_lines(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """``(chunk_id, lines)``: for each chunk that has any, the numbers of the lines that aren't main text."""
-    lines = (
-        chunks.where("chunk_id IS NOT NULL AND page_id IS NOT NULL AND content IS NOT NULL")
-        .select("chunk_id", "page_id", "content")
-        .mapInArrow(
-            _chunk_keys,
-            "chunk_id bigint, page_id bigint, keys array<bigint>, wholes array<bigint>, flags array<tinyint>",
-        )
+    given = chunks.where("chunk_id IS NOT NULL AND page_id IS NOT NULL AND content IS NOT NULL")
+    lines = spread(given.select("chunk_id", "page_id", "content")).mapInArrow(
+        _chunk_keys, "chunk_id bigint, page_id bigint, keys array<bigint>, wholes array<bigint>, flags array<tinyint>"
     )
     judged = F.expr(
         f"""transform(flags, (f, i) -> CASE

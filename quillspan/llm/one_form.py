@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import folding
-from quillspan.plans.tables import table
+from quillspan.plans.tables import materialize, spread, table
 
 BATCH_CHARS = 24_000_000
 _MARKUP = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;"}
@@ -167,14 +167,14 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_keys(pages: DataFrame) -> DataFrame:
     """``(page_id, field_name, key, raw)``: digests of the key and of the string as stored."""
-    return pages.select("page_id", "title", "html").mapInArrow(
+    return spread(pages.select("page_id", "title", "html")).mapInArrow(
         _keys, "page_id bigint, field_name string, key string, raw string"
     )
 
 
 def one_form(pages: DataFrame) -> DataFrame:
     """``(page_id, title, html)`` in one consistent form."""
-    return pages.select("page_id", "title", "html").mapInArrow(_forms, "page_id bigint, title string, html string")
+    return spread(pages.select("page_id", "title", "html")).mapInArrow(_forms, "page_id bigint, title string, html string")
 
 
 def same_reading_pairs(keys: DataFrame) -> DataFrame:
@@ -200,8 +200,6 @@ def same_reading_pairs(keys: DataFrame) -> DataFrame:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    from quillspan.plans.tables import materialize
-
     return same_reading_pairs(materialize(text_keys(table(spark, sf_dir, "pages")), "text_keys"))
 
 
