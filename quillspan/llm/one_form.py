@@ -101,7 +101,7 @@ def _run_sql(con, texts: list[str | None], resolved: bool, digests: bool) -> pa.
     con.register("t", pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
     key = _RESOLVED_KEY if resolved else "key"
     last = f"md5({key}) AS k, (length(trim(key)) = 0) AS blank" if digests else "form"
-    out = con.execute(f"SELECT id, {last} FROM ({form_sql()}) ORDER BY id").to_arrow_table()
+    out = con.sql(f"SELECT id, {last} FROM ({form_sql()}) ORDER BY id").to_arrow_table()
     con.unregister("t")
     return out
 
@@ -139,15 +139,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = batch.column(name).to_pylist()
                 texts = [resolve_references(x) for x in raw] if name == "html" else raw
                 out = _run_sql(con, texts, name == "html", True)
-                keep = [
-                    i for i, (x, blank) in enumerate(zip(raw, out.column("blank").to_pylist(), strict=True)) if x and not blank
-                ]
+                blanks = out.column("blank").to_pylist()
+                keep = pa.array([i for i, (x, blank) in enumerate(zip(raw, blanks, strict=True)) if x and not blank], pa.int64())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "page_id": ids.take(keep),
                         "field_name": pa.array([name] * len(keep), pa.string()),
                         "key": out.column("k").combine_chunks().take(keep),
-                        "raw": pa.array([hashlib.md5(raw[i].encode("utf-8", "surrogatepass")).hexdigest() for i in keep], pa.string()),
+                        "raw": pa.array([hashlib.md5(raw[i].encode("utf-8", "surrogatepass")).hexdigest() for i in keep.to_pylist()], pa.string()),
                     }
                 )
 
