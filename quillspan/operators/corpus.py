@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,36 +38,65 @@ def chrome_shingles(shingled: DataFrame, group: str, doc: str, threshold: float
     return df.join(counts, group).where((F.col("n") >= MIN_DOCS) & (F.col("df") >= enough)).select(group, "shingle", "df")
 
 
+def _kept_text(words: list[str], covered: list[bool], min_run: int) -> tuple[str, int]:
+    """The text outside runs of at least ``min_run`` covered words, and its number of words."""
+    keep = [True] * len(words)
+    start = 0
+    for i in range(len(words) + 1):
+        if i == len(words) or not covered[i]:
+            if i - start >= min_run:
+                keep[start:i] = [False] * (i - start)
+            start = i + 1
+    if not any(keep):
+        keep = [True] * len(words)
+    parts: list[str] = []
+    for i, w in enumerate(words):
+        if keep[i]:
+            parts.append(w if not parts else (" " if keep[i - 1] else "\n\n") + w)
+    return "".join(parts), len(parts)
+
+
 def strip_chrome(docs: DataFrame, group: str, doc: str, text: str, threshold: float = 0.5, k: int = SHINGLE, min_run: int = MIN_RUN) -> DataFrame:
     """``(group, doc, text, n_tokens, n_kept)``: the words outside runs of at least ``min_run`` covered ones.
 
     A document of which nothing would be left keeps all its words. A kept span's words are joined by
-    spaces, spans by a blank line.
+    spaces, spans by a blank line. Shingles are 64-bit keys in an array a document; only distinct keys
+    are exploded, counted with a map-side combine, and brought back to the documents that hold them.
     """
-    keys = [group, doc]
-    toks = materialize(tokens(docs, keys, text), "tokens")
-    shingled = shingles(toks, keys, k)
-    chrome = chrome_shingles(shingled, group, doc, threshold).select(group, "shingle")
-    starts = shingled.join(chrome, [group, "shingle"], "left_semi").select(*keys, "pos", F.lit(1).alias("starts"))
-    last = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-(k - 1), 0)
-    ordered = Window.partitionBy(*keys).orderBy("pos")
-    covered = toks.join(starts, [*keys, "pos"], "left").withColumn("covered", F.coalesce(F.max("starts").over(last), F.lit(0)))
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*keys, "covered").orderBy("pos"))
-    runs = covered.withColumn("run", run).withColumn("length", F.count(F.lit(1)).over(Window.partitionBy(*keys, "covered", "run")))
-    kept = runs.withColumn("keep", ~((F.col("covered") == 1) & (F.col("length") >= min_run)))
-    none = F.max("keep").over(Window.partitionBy(*keys)) == F.lit(False)
-    kept = kept.withColumn("keep", F.col("keep") | none)
-    gap = F.coalesce(F.lag("keep").over(ordered), F.lit(True)) == F.lit(False)
-    first = F.row_number().over(Window.partitionBy(*keys, "keep").orderBy("pos")) == 1
-    sep = F.when(first, "").when(gap, "\n\n").otherwise(" ")
-    return (
-        kept.withColumn("word", F.when(F.col("keep"), F.concat(sep, F.col("token"))))
-        .groupBy(*keys)
-        .agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("pos", "word")))), lambda x: x["word"]), "").alias("text"),
-            F.count(F.lit(1)).alias("n_tokens"), F.count_if("keep").alias("n_kept"),
-        )
-    )
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    own = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(group, doc, words.alias("words"))
+    last = F.size("words") - k
+    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, k))))
+    own = materialize(own.withColumn("hashes", F.coalesce(hashes, F.array().cast("array<bigint>"))), "shingles")
+    distinct = own.select(group, doc, F.explode(F.array_distinct("hashes")).alias("key"))
+    n = own.where(F.size("hashes") > 0).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    df = distinct.groupBy(group, "key").agg(F.count(F.lit(1)).alias("df"))
+    enough = F.greatest(F.lit(2), F.ceil(F.lit(threshold) * F.col("n")))
+    chrome = df.join(n, group).where((F.col("n") >= MIN_DOCS) & (F.col("df") >= enough)).select(group, "key")
+    held = distinct.join(chrome, [group, "key"], "left_semi").groupBy(doc).agg(F.collect_list("key").alias("chrome"))
+    joined = own.join(held, doc, "left").select(group, doc, "words", "hashes", "chrome")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, totals, kept = [], [], []
+            for w, h, c in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                covered = [False] * len(w)
+                if c:
+                    mine = set(c)
+                    for i, x in enumerate(h):
+                        if x in mine:
+                            covered[i : i + k] = [True] * k
+                t, m = _kept_text(w, covered, min_run)
+                texts.append(t)
+                totals.append(len(w))
+                kept.append(m)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(kept, pa.int64())],
+                [group, doc, "text", "n_tokens", "n_kept"],
+            )
+
+    return joined.mapInArrow(run, f"`{group}` {kinds[group]}, `{doc}` {kinds[doc]}, text string, n_tokens bigint, n_kept bigint")
 
 
 def glob_regex(pattern: str) -> str:
