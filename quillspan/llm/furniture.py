@@ -195,7 +195,6 @@ ANYWHERE: tuple[tuple[str, str, str], ...] = (
 _COMPILED = {kind: re.compile(pattern_form("|".join(p))) for kind, p in PATTERNS.items()}
 _ANY = re.compile(pattern_form("|".join(f"(?:{'|'.join(p)})" for p in PATTERNS.values())))
 _HELD = tuple((kind, text, re.compile(p)) for kind, text, p in ANYWHERE)
-_SPACE = re.compile(r"\s+")
 _TARGET = re.compile(r"\]\([^()\s]*\)")
 #: Remarks that belong to a section of the article.
 REMARK = re.compile(
@@ -204,7 +203,7 @@ REMARK = re.compile(
 
 
 def normal(line: str) -> str:
-    s = _SPACE.sub(" ", line).strip()
+    s = " ".join(line.split())
     if "](" in s:
         s = _TARGET.sub("", s).replace("[", "")
     return match_form(s).replace("'", "’")

@@ -23,7 +23,6 @@ _TOKEN = re.compile(
 _BODY = re.compile(r"<body\b[^>]*>", re.I)
 _HEAD_END = re.compile(r"</head\s*>", re.I)
 _KEY = re.compile(r"[\W_]+")
-_SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end the text block before and after them.
@@ -53,12 +52,16 @@ def line_key(line: str) -> str:
 
 
 class Page:
-    """``blocks``: (text, element, kind, text without code); kind is the tag of its block, ``pre`` for lines of code."""
+    """``blocks``: (text, element, kind, text without code); kind is the tag of its block, ``pre`` for lines of code.
 
-    __slots__ = ("blocks", "tags", "parents", "chars", "link_chars", "n_tags", "link_tags")
+    ``furniture`` tells of each block whether its wording is page furniture.
+    """
+
+    __slots__ = ("blocks", "furniture", "tags", "parents", "chars", "link_chars", "n_tags", "link_tags")
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, str, str]] = []
+        self.furniture: list[bool] = []
         self.tags = ["body"]
         self.parents = [-1]
         self.chars = [0]
@@ -94,15 +97,17 @@ class Page:
             if pre:
                 lines = [(x, "pre", "") for x in raw.split("\n") if x.strip()]
             else:
-                s = _SPACE.sub(" ", raw).strip()
+                s = " ".join(raw.split())
                 if not s:
                     return
                 lines = [(s, tags[at], outside)]
             for s, kind, rest in lines:
                 blocks.append((s, at, kind, rest))
+                worded = not pre and is_furniture(s)
+                self.furniture.append(worded)
                 n = len(s)
                 self.chars[at] += n
-                if not pre and (was >= n * 0.9 or is_furniture(s)):
+                if worded or (not pre and was >= n * 0.9):
                     self.link_chars[at] += n
                 else:
                     self.link_chars[at] += min(was, n)
