@@ -170,8 +170,9 @@ def p8_stats(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    d = classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
-    return d.where("doc_id IS NOT NULL AND rule > 0").select("doc_id").distinct()
+    d = classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")).where("doc_id IS NOT NULL")
+    # a filter on the rule itself would be pushed below the statistics, which would then be computed for each use
+    return d.groupBy("doc_id").agg(F.max("rule").alias("rule")).where("rule > 0").select("doc_id")
 
 
 def p8_by_source(spark, sf_dir: str) -> DataFrame:
