@@ -8,13 +8,15 @@ import sys
 from quillspan.operators import tags as T
 from quillspan.operators import urls
 from quillspan.operators.dom import Node
+from quillspan.operators.entities import NAMED
 from quillspan.operators.options import Options
 from quillspan.operators.prepare import class_marks
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH elements, a few frames each
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _ALWAYS = re.compile(r"[\\*_~`\[]")
-_START = re.compile(r"(?:(#{1,6})(?=\s|$)|([-+])(?=\s|$)|(>)|(\d{1,9})([.)])(?=\s|$))")
+_START = re.compile(r"(?:(#{1,6})(?=\s|$)|([-+](?=\s|$)|-{3,}(?=\s*$)|={3,}(?=\s*$))|(>)|(\d{1,9})([.)])(?=\s|$))")
+_REFERENCE = re.compile(r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|([A-Za-z][A-Za-z0-9]*));")
 _TAG_LIKE = re.compile(r"<(?=[A-Za-z!/?])")
 _LANGUAGE = re.compile(r"(?:^|\s)language-([^\s\"'&<>`~\x00-\x1f]+)")
 
@@ -124,11 +126,13 @@ class Renderer:
             s = _ALWAYS.sub(r"\\\g<0>", s)
         if "<" in s:
             s = _TAG_LIKE.sub(r"\\<", s)
+        if "&" in s:  # a decoded ampersand must not begin another reference
+            s = _REFERENCE.sub(lambda m: "\\" + m[0] if m[1] is None or m[1] in NAMED else m[0], s)
         if self.link and "]" in s:
             s = s.replace("]", "\\]")
         if self.cell and "|" in s:
             s = s.replace("|", "\\|")
-        if at_start and (m := _START.match(s)):
+        if at_start and not self.heading and (m := _START.match(s)):
             s = s[: m.start(5)] + "\\" + s[m.start(5) :] if m[5] else "\\" + s
         return s
 
@@ -196,7 +200,10 @@ class Renderer:
         if self.o.tailwind and (c := n.attrs.get("class")):
             before, after, _ = class_marks(c)
             if before:
+                block = tag in T.SPACED and not (self.cell or self.link)
+                out.want(2 if block else 0)
                 self._pair(n, out, before, after)
+                out.want(2 if block else 0)
                 return
         method = getattr(self, f"_{tag}", None) if tag.isalnum() else None
         if tag in T.HEADINGS:
@@ -315,6 +322,8 @@ class Renderer:
                 out.put(f"<{to}>")
                 return
         title = n.attrs.get("title")
+        if out.tail.endswith(")") and out.parts and out.parts[-1].startswith("[") and not out.pending:
+            out.put(" ")  # two links aren't glued
         shown = f"[{text}]({_destination(to)}{_title(title if title != n.text().strip() else None)})"
         out.put(shown)
         if body.endswith(" "):

@@ -61,7 +61,10 @@ class _Text:
             out.trim()
             out.put("\n")
         elif tag == "hr":
-            out.want(2)
+            if n.parent is not None and n.parent.tag == "li":
+                self.text(" ", out)
+            else:
+                out.want(2)
         elif tag == "img":
             label = n.attrs.get("alt") or n.attrs.get("title") or n.attrs.get("src", "")
             if label and not urls.is_data_url(label):
