@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import pandas_udf
 
-from quillspan.operators.dom import events, parse
+from quillspan.operators.dom import Node, events, parse
 from quillspan.operators.markdown import to_markdown
 from quillspan.operators.options import Options, minimal
 from quillspan.operators.plain import extract, to_safe_html, to_text
@@ -30,14 +30,24 @@ _ARROW = {
 }
 
 
-def convert_one(html: str | None, outputs: tuple[str, ...], o: Options, selectors: tuple[str, ...] = (), split: Split = Split()) -> tuple:
-    """What is asked of one document; the tree is built once and rendered only where a rendering is asked for."""
+Hook = Callable[[Node], None]
+
+
+def convert_one(
+    html: str | None, outputs: tuple[str, ...], o: Options, selectors: tuple[str, ...] = (), split: Split = Split(), hooks: tuple[Hook, ...] = ()
+) -> tuple:
+    """What is asked of one document; the tree is built once and rendered only where a rendering is asked for.
+
+    Hooks are functions of the tree's root that may change it, called in order before anything is taken from it.
+    """
     if html is None:
         return (None,) * len(outputs)
     cut = bool(o.max_text) and len(html) > o.max_text
     if cut:
         html = html[: html.rfind(">", 0, o.max_text) + 1]
     root = parse(html)
+    for hook in hooks:
+        hook(root)
     got: dict[str, object] = {"truncated": cut}
     if "metadata" in outputs or o.frontmatter:
         got["metadata"] = head_metadata(root, o.meta_fields)
@@ -70,7 +80,7 @@ def convert_one(html: str | None, outputs: tuple[str, ...], o: Options, selector
 
 def convert(
     df: DataFrame, keep: list[str], html: str = "html", outputs: tuple[str, ...] = ("markdown",),
-    o: Options = Options(), selectors: tuple[str, ...] = (), split: Split = Split(),
+    o: Options = Options(), selectors: tuple[str, ...] = (), split: Split = Split(), hooks: tuple[Hook, ...] = (),
 ) -> DataFrame:
     """The columns ``keep`` and those of ``outputs``, from one pass of the kernel over each document."""
     if bad := set(outputs) - set(OUTPUTS):
@@ -80,7 +90,7 @@ def convert(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [convert_one(x, outputs, o, selectors, split) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [convert_one(x, outputs, o, selectors, split, hooks) for x in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([r[k] for r in rows], _ARROW[x]) for k, x in enumerate(outputs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *outputs])
 

@@ -49,3 +49,11 @@ def negotiate(header: Column, fetch_dest: Column) -> Column:
 def route_eligible(path: Column) -> Column:
     last = F.regexp_extract(path, "([^/]*)$", 1)
     return ~path.rlike("^/(api|_|@)") & (~last.contains(".") | last.endswith(".md"))
+
+
+def merged_vary(given: Column, more: list[str]) -> Column:
+    """A Vary header with further names; each once whatever its case, ``*`` stands alone."""
+    names = F.filter(F.transform(F.split(F.coalesce(given, F.lit("")), ","), lambda n: F.trim(n)), lambda n: n != "")
+    every = F.concat(names, F.array(*map(F.lit, more)))
+    once = F.filter(every, lambda n, i: ~F.exists(F.slice(every, F.lit(1), i), lambda m: F.lower(m) == F.lower(n)))
+    return F.when(F.array_contains(names, "*"), "*").otherwise(F.array_join(once, ", "))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.text_columns import body_without_title, frontmatter_map, toc_anchor
 from quillspan.plans.tables import materialize
 
 SHINGLE, MIN_RUN, MIN_DOCS = 6, 12, 3
@@ -236,3 +237,34 @@ def llms_index(pages: DataFrame, names: DataFrame, site: str, most: int = 100) -
     return lists.join(names, site, "left").select(site, F.concat(head, "list").alias("llms_txt"))
 
 
+def llms_full(pages: DataFrame, site: str) -> DataFrame:
+    """``(site, llms_full)``: table of contents and every page with its front block, without a repeated title.
+
+    ``pages`` is ``(site, place, title, url, description, keywords, author, content)``. The fields of the
+    page go over those of a front block that its content brings along.
+    """
+    title = F.coalesce("title", F.lit(""))
+    p = pages.withColumns({"__t": title, "__anchor": toc_anchor(title)})
+    field = lambda name, c: F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"{name}: "), c, F.lit("\n")))
+    own = frontmatter_map(F.col("content"))
+    given = F.map_filter(own, lambda k, v: ~k.isin("title", "url", "description", "keywords", "author"))
+    kept = F.array_join(F.transform(F.array_sort(F.map_entries(given)), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n"))), "")
+    block = F.concat(
+        F.coalesce(kept, F.lit("")), F.lit("title: "), "__t", F.lit("\nurl: "), "url", F.lit("\n"),
+        field("description", F.col("description")), field("keywords", F.col("keywords")), field("author", F.col("author")),
+    )
+    body = body_without_title(F.coalesce("content", F.lit("")), F.col("__t"))
+    p = p.select(
+        site, "place", F.concat(F.lit("- ["), "__t", F.lit("](#"), "__anchor", F.lit(")\n")).alias("toc"),
+        F.concat(F.lit("---\n"), block, F.lit("---\n\n"), body, F.lit("\n\n---\n\n")).alias("text"),
+    )
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), "")
+    return p.groupBy(site).agg(
+        F.concat(F.lit("# "), F.col(site), F.lit("\n\n## Table of Contents\n\n"), joined("toc"), F.lit("\n---\n\n"), joined("text")).alias("llms_full")
+    )
+
+
+def with_content(docs: DataFrame, text: str, least: int = 10) -> DataFrame:
+    """The documents of which more than ``least`` characters are left without a front block and outer white space."""
+    body = F.regexp_replace(F.col(text), r"(?s)^---[^\n]*\n.*?\n---[^\n]*\n?", "")
+    return docs.where(F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) > least)

@@ -589,6 +589,55 @@ def llms_txt(spark, d):
     return out.select("site", F.md5("llms_txt").alias("digest"))
 
 
+@query(
+    _PLACED
+    + """, doc AS (SELECT page_id, string_agg(content, chr(10) ORDER BY chunk_no) AS content FROM (SELECT DISTINCT page_id, chunk_no, content FROM chunks) GROUP BY 1),
+    full_ AS (SELECT site, place, coalesce(placed.title, '') AS t, placed.url, placed.description, keywords, author, coalesce(content, '') AS c, trim(regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g')) AS tr
+      FROM placed JOIN pages USING (page_id) LEFT JOIN doc USING (page_id)),
+    page AS (SELECT site, place, '- [' || t || '](#' || regexp_replace(lower(t), '[^a-z0-9]', '-', 'g') || ')' || chr(10) AS toc,
+      '---' || chr(10) || 'title: ' || t || chr(10) || 'url: ' || url || chr(10) || CASE WHEN coalesce(description, '') = '' THEN '' ELSE 'description: ' || description || chr(10) END
+      || CASE WHEN coalesce(keywords, '') = '' THEN '' ELSE 'keywords: ' || keywords || chr(10) END || CASE WHEN coalesce(author, '') = '' THEN '' ELSE 'author: ' || author || chr(10) END || '---' || chr(10) || chr(10)
+      || CASE WHEN string_split(tr, chr(10))[1] IN (t, '# ' || t) THEN regexp_replace(regexp_replace(tr, '^[^\\n]*\\n?', ''), '^\\s+', '') ELSE c END || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS text FROM full_)
+    SELECT site, md5('# ' || site || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10) || string_agg(toc, '' ORDER BY place) || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, '' ORDER BY place)) AS digest
+    FROM page GROUP BY site"""
+)
+def llms_full(spark, d):
+    """The whole text of each site as one artifact (its digest here)."""
+    more = pages(spark, d).select("page_id", "keywords", "author")
+    text = _page_texts(spark, d).select("page_id", F.col("text").alias("content"))
+    p = _placed(spark, d).join(more, "page_id").join(text, "page_id", "left")
+    return corpus.llms_full(p, "site").select("site", F.md5("llms_full").alias("digest"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(regexp_replace(regexp_replace(text, '(?s)^---[^\\n]*\\n.*?\\n---[^\\n]*\\n?', ''), '^\\s+|\\s+$', '', 'g')) > 10")
+def content_filter(spark, d):
+    return corpus.with_content(table(spark, d, "documents"), "text").select("doc_id")
+
+
+@query(
+    f"""SELECT site, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS n FROM (
+      SELECT DISTINCT {_SITE} AS site, regexp_replace(url, '/$', '') AS url FROM pages WHERE {_SITE} IS NOT NULL)) WHERE n <= 5"""
+)
+def start_urls(spark, d):
+    """Start addresses of each site, once whether they end in a slash or not, five a site at most."""
+    u = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), F.regexp_replace("url", "/$", "").alias("url")).where("site IS NOT NULL").distinct()
+    return u.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where("n <= 5").select("site", "url")
+
+
+@query(
+    f"""SELECT site, coalesce(max(name), max(home), regexp_extract(site, '^[a-z]+://([^/:]+)', 1)) AS name FROM (
+      SELECT {_SITE} AS site, NULL AS name, CASE WHEN {_PATH} IN ('', '/') THEN nullif(title, '') END AS home FROM pages
+      UNION ALL SELECT {site_sql("origin", "origin")}, nullif(site_name, ''), NULL FROM sites) WHERE site IS NOT NULL GROUP BY site"""
+)
+def site_names(spark, d):
+    """A site's name: the given one, the title of its home page, or its host."""
+    home = F.when(url_columns.url_path(F.col("url")).isin("", "/"), F.nullif("title", F.lit("")))
+    p = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), F.lit(None).cast("string").alias("name"), home.alias("home"))
+    s = table(spark, d, "sites").select(site_of(F.col("origin"), F.col("origin")).alias("site"), F.nullif("site_name", F.lit("")).alias("name"), F.lit(None).cast("string").alias("home"))
+    both = p.union(s).where("site IS NOT NULL").groupBy("site").agg(F.max("name").alias("name"), F.max("home").alias("home"))
+    return both.select("site", F.coalesce("name", "home", host_of(F.col("site"))).alias("name"))
+
+
 # streams -----------------------------------------------------------------------
 
 

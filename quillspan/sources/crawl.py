@@ -36,7 +36,7 @@ def sitemap_locs(xml: Column, item: str = "url") -> Column:
 
 
 def robots_sitemaps(robots: Column) -> Column:
-    return F.transform(F.regexp_extract_all(robots, F.lit(r"(?i)Sitemap:[ \t]*([^\r\n]*)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(robots, F.lit(r"(?i)Sitemap:[ \t]*([^\r\n]*)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def robots_delay(robots: Column) -> Column:

@@ -81,3 +81,26 @@ def test_walk_and_chrome(spark):
     df = spark.createDataFrame(docs, "site string, id int, text string")
     got = {(r.site, r.id): r.text for r in corpus.strip_chrome(df, "site", "id", "text").collect()}
     assert got["s", 0] == "own0 text0" and got["s", 9] == menu and got["t", 1] == menu
+
+
+def test_hooks_vary_and_artifacts(spark):
+    from quillspan.operators.dom import prune
+
+    def no_ads(root):
+        prune(root, lambda n: "ad" in n.attrs.get("class", ""))
+
+    df = spark.createDataFrame([(1, "<p>a<p class=ad>b")], "id int, html string")
+    assert convert(df, ["id"], hooks=(no_ads,)).first().markdown == "a"
+    v = df.select(
+        negotiation.merged_vary(F.lit("Accept, cookie"), ["accept", "Sec-Fetch-Dest"]),
+        negotiation.merged_vary(F.lit("*"), ["Accept"]),
+        negotiation.merged_vary(F.lit(None).cast("string"), ["Accept"]),
+    ).first()
+    assert tuple(v) == ("Accept, cookie, Sec-Fetch-Dest", "*", "Accept")
+    schema = "site string, place int, title string, url string, description string, keywords string, author string, content string"
+    pages = spark.createDataFrame([("s", 1, "T", "u", "d" * 120, None, "", "---\ntitle: old\nlang: en\n---\n\n# T\n\nBody"), ("s", 2, None, "v", None, None, None, None)], schema)
+    text = corpus.llms_full(pages, "site").first().llms_full
+    assert "---\nlang: en\ntitle: T\nurl: u\n" in text and "\n---\n\nBody\n" in text and "old" not in text
+    names = spark.createDataFrame([("s", "Name", "")], "site string, site_name string, site_description string")
+    index = corpus.llms_index(pages, names, "site").first().llms_txt
+    assert index == f"# Name\n\nCanonical Origin: s\n\n## Pages\n\n- [T](u): {'d' * 100}...\n- [](v)\n"
