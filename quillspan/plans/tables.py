@@ -42,10 +42,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for costly per-row kernels.
 
     A small input in one file comes as one task; it is shuffled once to fill the cores. An
-    input of as many splits as there are cores, the case at scale, is left where it is.
+    input of as many splits as there are cores, the case at scale, is left where it is. So is
+    what comes out of a shuffle: counting its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    plan = df._jdf.queryExecution()
+    shuffled = "Adaptive" in (text := plan.executedPlan().toString()) or "Exchange" in text
+    if shuffled or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
