@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import TOKENIZER, with_tokens
-from quillspan.plans.tables import materialize, table
+from quillspan.plans.tables import materialize, spread, table
 
 BUCKETS = 4096
 
@@ -37,7 +37,8 @@ BUCKETS = 4096
 def sized_documents(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``(doc_id, source, n_tokens)`` of the documents of listed sources, written to the shared folder."""
     listed = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source").distinct()
-    own = documents.where("doc_id IS NOT NULL").where(F.col("text").rlike(r"[^\s\p{Z}]")).join(listed, "source", "left_semi")
+    texts = documents.where("doc_id IS NOT NULL").where(F.col("text").rlike(r"[^\s\p{Z}]"))
+    own = spread(texts.select("doc_id", "source", "text")).join(listed, "source", "left_semi")
     return materialize(with_tokens(own, ["doc_id", "source"], "text", path).where("n_tokens > 0"), "sized")
 
 
