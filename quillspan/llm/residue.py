@@ -3,8 +3,15 @@
 Method: records of one template are aligned by what their lines share: a line with a marked
 token becomes a template with a slot (digits and the token masked), and the slots of all
 records of a template are brought together. A slot that retains a variable name, a default
-("your … here") or nothing, where records of its template differ only there, is residue. Beside
-it, whole-page templates are found: main texts whose every line recurs over sites and titles,
+("your … here") or nothing, where records of its template differ only there, is residue. Each
+line with such gaps is a pattern of its fixed parts, and the lines of all pages, marked or
+filled, are compared with it: they meet by the hash of the first or last characters of the
+longer fixed part, then the whole pattern decides. A mark among at least ``LONG_CONTEXT`` words
+needs one line that holds something else; marks with less around them, defaults and blanks need
+two different ones on two pages. A blank must show: a space before a comma or full stop, a
+separator at the end or the beginning, empty brackets or quotes (not in a text with inline
+code, where the code may be what is missing). A line from which a word is
+missing without a trace reads like one written without it, and is none. Beside it, whole-page templates are found: main texts whose every line recurs over sites and titles,
 and main texts that consist of sentences known from error pages, demands for scripts, browser
 checks and filler.
 
@@ -56,6 +63,19 @@ WEAK = re.compile(
 )
 #: What every mark holds; the costly patterns run only where one of these stands.
 _HINT = re.compile(r"[{%@\[<_]|\(\(|[$#]\{|TODO|REPLACE")
+#: Defaults that templates are delivered with.
+DEFAULT = re.compile(r"\byour (?:[\w’'-]+ ){1,4}(?:goes )?here\b|\buntitled\b", re.I)
+#: Places where something seems to be missing.
+BLANK = re.compile(r"(?<=\w )(?=[,.](?:\s|$))|(?<= [-–—|·])$|^(?=[-–—|·] )|(?<=\s[(“«\"])\s*(?=[)”»\"](?!\w))")
+#: Where defaults and blanks may stand, for the same reason as ``_HINT``.
+_DEFAULT_HINT = re.compile(r"here|HERE|Here|ntitled|NTITLED")
+_OPEN_END = "-–—|·"
+_EMPTY = re.compile(r"[(“«\"]\s*[)”»\"]")
+LONG_CONTEXT = 3
+#: Lengths of the parts of lines by which they are brought together with patterns.
+ANCHORS = (24, 8, 2)
+KEY_SLOTS = 1 << 20
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{2}|\w+")
 _VARIABLE = re.compile(r"[._]|^[A-Z]+$|^\d+$")
 _COINED = re.compile(r"\b[A-Z][\w’-]*")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
@@ -149,7 +169,60 @@ def slots(line: str) -> list[tuple[str, str]]:
     ]
 
 
-_SCHEMA = "page_id bigint, title string, found boolean, head bigint, lines array<bigint>, templates array<bigint>, marks array<bigint>"
+def _coined(line: str) -> str:
+    return _DIGITS.sub("0", _COINED.sub("N", line))
+
+
+def _pattern(line: str, gaps: list[tuple[int, int]], least: int | None) -> dict | None:
+    """The line as a pattern that has anything in its gaps; None where the fixed parts are too short to meet other lines."""
+    parts, at = [], 0
+    for start, stop in sorted(gaps):
+        if start >= at:
+            parts.append(line[at:start])
+            at = stop
+    parts.append(line[at:])
+    if len(parts[0]) == len(line) and parts[0]:
+        parts[0] += " "
+    if len(parts[-1]) == len(line) and parts[-1]:
+        parts[-1] = " " + parts[-1]
+    parts = [_coined(x) for x in parts]
+    side = 1 if len(parts[0]) >= len(parts[-1]) else -1
+    outer = parts[0] if side > 0 else parts[-1]
+    size = next((n for n in ANCHORS if n <= len(outer)), 0)
+    if not size:
+        return None
+    if least is None:
+        least = 1 if sum(len(_WORD.findall(x)) for x in parts) >= LONG_CONTEXT else 2
+    quoted = ["\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E" if x else "" for x in parts]
+    return {
+        "side": side * size, "anchor": outer[:size] if side > 0 else outer[-size:],
+        "pattern": "^" + ".+".join(quoted) + "$", "own": _coined(line), "least": least,
+    }
+
+
+def patterns(line: str, shown: bool = True) -> list[dict]:
+    """What other lines are compared with: the line without its marks, and, as it is shown, without its defaults and blanks."""
+    marks = [m.span() for m in WEAK.finditer(line)] if _HINT.search(line) else []
+    empty = [m.span() for m in DEFAULT.finditer(line)] if _DEFAULT_HINT.search(line) else []
+    if shown and (" ," in line or " ." in line or line[0] in _OPEN_END or line[-1] in _OPEN_END or _EMPTY.search(line)):
+        empty += [m.span() for m in BLANK.finditer(line)]
+    out = [_pattern(line, marks, None)] if marks else []
+    if empty:
+        out.append(_pattern(line, marks + empty, 2))
+    return [x for x in out if x]
+
+
+_PATTERN = "struct<side: int, anchor: string, pattern: string, own: string, least: int>"
+_SCHEMA = (
+    "page_id bigint, title string, found boolean, head bigint, lines array<bigint>, templates array<bigint>, marks array<bigint>,"
+    f" texts array<string>, raws array<bigint>, patterns array<{_PATTERN}>"
+)
+
+
+def _sentences(texts: list[str]) -> dict[str, None]:
+    """The sentences of texts in one form, each once, in order."""
+    folded = fold("\n".join([" ".join(x.split()) for x in texts]))
+    return {s: None for x in folded.split("\n") for s in _SENTENCE.split(" ".join(x.split())) if s}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +230,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for page_id, title, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             running = [title] if title and title.strip() else []
+            with_code: list[str] = []
+            less: list[str] = []
             head = None
             whole: list[str] = []
             if html and html.strip():
@@ -166,14 +241,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if at not in inside or kind == "pre":
                         continue
                     running.append(outside)
+                    if outside != text and "".join(outside.split()) != "".join(text.split()):
+                        with_code.append(text)
+                        less.append(outside)
                     if worded or (len(text) <= MAX_CHARS and REMARK.match(normal(text))):
                         continue
                     if kind == "h1":
                         head = text
                     else:
                         whole.append(text)
-            marked = [y for x in running if _HINT.search(y := fold(x))]
-            running = [s for x in marked for s in _SENTENCE.split(" ".join(x.split())) if _HINT.search(s)]
+            plain, coded = _sentences(running), _sentences(with_code)
+            beside_code = set(_sentences(less)).difference(coded) if less else ()
+            running = [x for x in plain if _HINT.search(x)]
+            texts = [*plain, *(x for x in coded if x not in plain)]
+            raws = [_signed(x) for x in texts]
+            texts = _coined("\n".join(texts)).split("\n") if texts else []
             found = any(STRONG.search(x) for x in running)
             templates, marks = [], []
             if not found:
@@ -189,6 +271,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         t = _DIGITS.sub("0", _COINED.sub("N", x[: m.start()]) + "\0" + _COINED.sub("N", x[m.end() :]))
                         templates.append(_signed(t))
                         marks.append(_signed(m[0]))
+            gaps = []
+            if not found:
+                # what code leaves empty in the running text is no blank
+                gaps = [y for x in plain for y in patterns(x, not coded or x not in beside_code)]
             if not found and whole:
                 found = bad_share(whole) >= 0.5
             if not found and not whole and head and html:
@@ -196,20 +282,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = []
             if not found and whole and sum(map(len, whole)) <= MAX_TEMPLATE_CHARS:
                 lines = sorted({_signed(_masked(x)) for x in whole})
-            rows.append((page_id, title, found, _signed(_masked(head)) if head and lines else None, lines, templates[:64], marks[:64]))
+            rows.append((page_id, title, found, _signed(_masked(head)) if head and lines else None, lines, templates[:64], marks[:64], texts, raws, [] if found else gaps))
         longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), longs, longs, longs]
-        names = ["page_id", "title", "found", "head", "lines", "templates", "marks"]
-        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        gaps = pa.list_(pa.struct([("side", pa.int32()), ("anchor", pa.string()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())]))
+        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), longs, longs, longs, pa.list_(pa.string()), longs, gaps]
+        names = ["page_id", "title", "found", "head", "lines", "templates", "marks", "texts", "raws", "patterns"]
+        columns = zip(*rows, strict=True) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
 
+def _held_otherwise(keyed: DataFrame) -> DataFrame:
+    """``(page_id)``: pages with a mark, a default or a blank where other lines of the pattern hold something else.
+
+    Lines and patterns meet by the hash of a line's first or last characters; then the pattern decides.
+    Lines that meet none drop out before, by the slots of the patterns' hashes (``KEY_SLOTS`` at most).
+    """
+    given = materialize(
+        keyed.select("page_id", F.explode("patterns").alias("x"))
+        .select("page_id", "x.*", F.xxhash64("x.side", "x.anchor").alias("key"), F.xxhash64("x.pattern", "x.own", "x.least").alias("id")),
+        "patterns",
+    )
+    distinct = materialize(given.select("id", "key", "pattern", "own", "least").dropDuplicates(["id"]), "distinct_patterns")
+    text = keyed.select("page_id", F.explode(F.arrays_zip("texts", "raws")).alias("x")).select("page_id", F.col("x.texts").alias("line"), F.col("x.raws").alias("raw"))
+    ends = {
+        f"k{n}{side}": F.when(F.length("line") >= n, F.xxhash64(F.lit(n * side), at("line", F.lit(n))))
+        for n in ANCHORS for side, at in ((1, F.left), (-1, F.right))
+    }
+    near = text.withColumns(ends)
+    slots_met = []
+    for k in ends:
+        slot = F.broadcast(distinct.select(F.pmod("key", F.lit(KEY_SLOTS)).alias(f"s{k}")).distinct())
+        near = near.join(slot, F.pmod(F.col(k), F.lit(KEY_SLOTS)) == slot[f"s{k}"], "left")
+        slots_met.append(F.when(F.col(f"s{k}").isNotNull(), F.col(k)))
+    near = near.select("page_id", "line", "raw", F.array_compact(F.array(*slots_met)).alias("keys")).where(F.coalesce(*slots_met).isNotNull())
+    met = near.select("page_id", "raw", "line", F.explode("keys").alias("key")).join(distinct, "key").where("line <> own AND line RLIKE pattern")
+    held = met.groupBy("id", "least").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min("page_id").alias("p"), F.max("page_id").alias("q"))
+    varied = held.where("least = 1 OR (a <> b AND p <> q)").select("id")
+    return given.join(varied, "id", "left_semi").select("page_id")
+
+
 def residue_pages(pages: DataFrame, min_sites: int = MIN_SITES, min_titles: int = MIN_TITLES) -> DataFrame:
     """``(page_id, reason)``: the pages to leave out, each once; reason is text, slot or template."""
     scanned = spread(pages.where("page_id IS NOT NULL").select("page_id", "title", "html")).mapInArrow(_scan, _SCHEMA)
-    keyed = materialize(
-        scanned.where("found OR size(lines) > 0 OR size(templates) > 0"), "residue"
-    )
+    keyed = materialize(scanned, "residue")
     site = pages.select("page_id", F.xxhash64(site_of(F.col("origin"), F.col("url"))).alias("site"))
     own = keyed.where("found").select("page_id", F.lit("text").alias("reason"))
 
@@ -220,6 +335,8 @@ def residue_pages(pages: DataFrame, min_sites: int = MIN_SITES, min_titles: int
     varied = marks.groupBy("template").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most")
     slot = marks.where("NOT found").join(varied.select("template"), "template", "left_semi").select("page_id", F.lit("slot").alias("reason"))
 
+    slot = slot.union(_held_otherwise(keyed).select("page_id", F.lit("slot").alias("reason")))
+
     # main texts made of lines that recur over sites and titles
     short = keyed.where("NOT found AND size(lines) > 0").join(site, "page_id")
     every = F.array_append("lines", F.col("head"))

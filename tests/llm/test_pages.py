@@ -115,3 +115,22 @@ def test_slots_and_page_templates(spark):
     pages = _pages(spark, slots + [(10 + i, f"Title {i}", unseen) for i in range(4)] + [(20, "One", f"<h1>One</h1><p>{PROSE}</p>"), (21, "Two", "<h1>Two</h1><p>((once))-only remark here</p>")])
     got = {r.page_id: r.reason for r in residue.residue_pages(pages).collect()}
     assert got == {0: "slot", 1: "slot", 2: "text", **{10 + i: "template" for i in range(4)}}
+
+
+def test_slots_that_other_records_fill(spark):
+    """Marks, defaults and blanks where the other records of the template hold real values."""
+    filled = ["sales", "our small team", "Anna"]
+    broken = {
+        0: ("A0", "Contact [[heading]] to learn more."), 1: ("Abc - %name%", ""), 2: ("A2", "バージョン((version))が先週公開されました。"),
+        3: ("A3", "Dear ((first)) of ((firm)), welcome to the overview."), 4: ("A4", "The editor of this guide is , who wrote it."),
+        5: ("A5", "This manual was made by your company name here in spring."),
+    }
+    rows = [(i, t, f"<h1>{t}</h1><p>{PROSE} {h}</p>" if h else "") for i, (t, h) in broken.items()]
+    for i, v in enumerate(filled):
+        text = f"Contact {v} to learn more. バージョン{i}が先週公開されました。 Dear {v} of Xy{i}, welcome to the overview."
+        text += f" The editor of this guide is {v}, who wrote it. This manual was made by {v} in spring."
+        rows.append((10 + i, f"Abc - Name{i}", f"<h1>B{i}</h1><p>{PROSE} {text}</p>"))
+    # nothing else stands in their place, or code does
+    rows += [(20, "C0", f"<h1>C0</h1><p>{PROSE} Links such as [[wiki]] stay as they were typed.</p>"), (21, "C1", f"<h1>C1</h1><p>{PROSE} The editor of this guide is <code>x</code>, who wrote it.</p>")]
+    got = {r.page_id: r.reason for r in residue.residue_pages(_pages(spark, rows)).collect()}
+    assert got == dict.fromkeys(broken, "slot")
