@@ -257,20 +257,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws = [_signed(x) for x in texts]
             texts = _coined("\n".join(texts)).split("\n") if texts else []
             found = any(STRONG.search(x) for x in running)
-            templates, marks = [], []
+            pairs: dict[tuple[int, int], None] = {}  # each template and mark of the page once
             if not found:
                 for x in running:
                     for template, value in slots(x):
                         if _VARIABLE.search(value) or not template.strip("\0 .,:;!?|–-"):
                             found = True
-                        templates.append(_signed(template))
-                        marks.append(_signed(value))
+                        pairs[_signed(template), _signed(value)] = None
             else:
                 for x in running:
                     for m in STRONG.finditer(x):
                         t = _DIGITS.sub("0", _COINED.sub("N", x[: m.start()]) + "\0" + _COINED.sub("N", x[m.end() :]))
-                        templates.append(_signed(t))
-                        marks.append(_signed(m[0]))
+                        pairs[_signed(t), _signed(m[0])] = None
             gaps = []
             if not found:
                 # what code leaves empty in the running text is no blank
@@ -282,7 +280,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = []
             if not found and whole and sum(map(len, whole)) <= MAX_TEMPLATE_CHARS:
                 lines = sorted({_signed(_masked(x)) for x in whole})
-            rows.append((page_id, title, found, _signed(_masked(head)) if head and lines else None, lines, templates[:64], marks[:64], texts, raws, [] if found else gaps))
+            rows.append((page_id, title, found, _signed(_masked(head)) if head and lines else None, lines, [t for t, _ in pairs], [m for _, m in pairs], texts, raws, [] if found else gaps))
         longs = pa.list_(pa.int64())
         gaps = pa.list_(pa.struct([("side", pa.int32()), ("anchor", pa.string()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())]))
         kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), longs, longs, longs, pa.list_(pa.string()), longs, gaps]

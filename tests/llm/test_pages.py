@@ -134,3 +134,10 @@ def test_slots_that_other_records_fill(spark):
     rows += [(20, "C0", f"<h1>C0</h1><p>{PROSE} Links such as [[wiki]] stay as they were typed.</p>"), (21, "C1", f"<h1>C1</h1><p>{PROSE} The editor of this guide is <code>x</code>, who wrote it.</p>")]
     got = {r.page_id: r.reason for r in residue.residue_pages(_pages(spark, rows)).collect()}
     assert got == dict.fromkeys(broken, "slot")
+
+
+def test_every_mark_of_a_page_is_compared(spark):
+    words = [a + b for a in "abcdefghij" for b in "klmnopqr"]
+    many = " ".join(f"The {w} entry keeps [[heading]] as it was typed." for w in words)
+    rows = [(i, f"P{i}", f"<h1>P{i}</h1><p>{PROSE} {many if not i else ''} The last entry reads [[{v}]] for all.</p>") for i, v in enumerate(["Alpha", "Beta"])]
+    assert {(r.page_id, r.reason) for r in residue.residue_pages(_pages(spark, rows)).collect()} == {(0, "slot"), (1, "slot")}
