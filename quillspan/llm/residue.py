@@ -11,8 +11,9 @@ needs one line that holds something else; marks with less around them, defaults
 two different ones on two pages. A blank must show: a space before a comma or full stop, a
 separator at the end or the beginning, empty brackets or quotes (not in a text with inline
 code, where the code may be what is missing). A line from which a word is
-missing without a trace reads like one written without it, and is none. Beside it, whole-page templates are found: main texts whose every line recurs over sites and titles,
-and main texts that consist of sentences known from error pages, demands for scripts, browser
+missing without a trace reads like one written without it, and is none. Beside it, whole-page templates are found: main texts whose every line recurs over sites and titles
+(in a text of more than ``SHORT_CHARS`` a title of which half the words stand in the text is its
+own and doesn't count, so that articles republished under their titles stay), and main texts that consist of sentences known from error pages, demands for scripts, browser
 checks and filler.
 
 The main text is the subtree of highest text density (``page_text``) without page furniture,
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +40,18 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.sites import site_of
 from quillspan.llm.folding import fold, match_form, pattern_form
-from quillspan.llm.furniture import MAX_CHARS, REMARK, normal
+from quillspan.llm.furniture import MAX_CHARS, REMARK
+from quillspan.llm.furniture import normal as _normal
 from quillspan.llm.main_text import _signed
 from quillspan.llm.page_text import Page
 from quillspan.plans.tables import materialize, spread, table
 
+normal = lru_cache(4096)(_normal)
+
 MIN_SITES = 3
 MIN_TITLES = 3
-MAX_TEMPLATE_CHARS = 600
+#: Up to here a text counts as a template under any titles.
+SHORT_CHARS = 600
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 #: Marks that only templating languages use.
@@ -169,6 +175,14 @@ def slots(line: str) -> list[tuple[str, str]]:
     ]
 
 
+def _titled(title: str | None, whole: list[str], head: str | None) -> bool:
+    """Whether at least half the words of a title stand in the text or its heading."""
+    text = match_form(" ".join([*whole, head or ""]))
+    known = set(_WORD.findall(text))
+    words = _WORD.findall(match_form(title or ""))
+    return bool(words) and 2 * sum(w in known or ("\u3040" <= w[0] <= "\u9fff" and w in text) for w in words) >= len(words)
+
+
 def _coined(line: str) -> str:
     return _DIGITS.sub("0", _COINED.sub("N", line))
 
@@ -214,7 +228,7 @@ def patterns(line: str, shown: bool = True) -> list[dict]:
 
 _PATTERN = "struct<side: int, anchor: string, pattern: string, own: string, least: int>"
 _SCHEMA = (
-    "page_id bigint, title string, found boolean, head bigint, lines array<bigint>, templates array<bigint>, marks array<bigint>,"
+    "page_id bigint, title string, found boolean, whole bigint, own_title boolean, templates array<bigint>, marks array<bigint>,"
     f" texts array<string>, raws array<bigint>, patterns array<{_PATTERN}>"
 )
 
@@ -277,14 +291,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = bad_share(whole) >= 0.5
             if not found and not whole and head and html:
                 found = bool(_BAD.match(normal(head)))
-            lines = []
-            if not found and whole and sum(map(len, whole)) <= MAX_TEMPLATE_CHARS:
-                lines = sorted({_signed(_masked(x)) for x in whole})
-            rows.append((page_id, title, found, _signed(_masked(head)) if head and lines else None, lines, [t for t, _ in pairs], [m for _, m in pairs], texts, raws, [] if found else gaps))
+            key, own_title = None, False
+            if not found and whole:
+                lines = sorted({_masked(x) for x in whole})
+                key = _signed("\n".join([*lines, "", _masked(head) if head else ""]))
+                own_title = sum(map(len, whole)) > SHORT_CHARS and _titled(title, whole, head)
+            rows.append((page_id, title, found, key, own_title, [t for t, _ in pairs], [m for _, m in pairs], texts, raws, [] if found else gaps))
         longs = pa.list_(pa.int64())
         gaps = pa.list_(pa.struct([("side", pa.int32()), ("anchor", pa.string()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())]))
-        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), longs, longs, longs, pa.list_(pa.string()), longs, gaps]
-        names = ["page_id", "title", "found", "head", "lines", "templates", "marks", "texts", "raws", "patterns"]
+        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), longs, longs, pa.list_(pa.string()), longs, gaps]
+        names = ["page_id", "title", "found", "whole", "own_title", "templates", "marks", "texts", "raws", "patterns"]
         columns = zip(*rows, strict=True) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
@@ -336,17 +352,14 @@ def residue_pages(pages: DataFrame, min_sites: int = MIN_SITES, min_titles: int
     slot = slot.union(_held_otherwise(keyed).select("page_id", F.lit("slot").alias("reason")))
 
     # main texts made of lines that recur over sites and titles
-    short = keyed.where("NOT found AND size(lines) > 0").join(site, "page_id")
-    every = F.array_append("lines", F.col("head"))
-    whole = F.xxhash64(F.array_compact(F.when(F.col("head").isNull(), F.col("lines")).otherwise(every)))
-    short = short.select("page_id", "site", F.xxhash64("title").alias("title"), whole.alias("whole"))
-    one = short.dropDuplicates(["whole", "site", "title"])
+    texts = keyed.where("whole IS NOT NULL").select("page_id", "whole", "own_title", F.xxhash64("title").alias("title")).join(site, "page_id")
+    one = texts.where("NOT own_title").dropDuplicates(["whole", "site", "title"])
     common = (
         one.groupBy("whole")
         .agg(F.count_distinct("site").alias("sites"), F.count_distinct("title").alias("titles"))
         .where((F.col("sites") >= min_sites) & (F.col("titles") >= min_titles))
     )
-    template = short.join(common.select("whole"), "whole", "left_semi").select("page_id", F.lit("template").alias("reason"))
+    template = texts.join(common.select("whole"), "whole", "left_semi").select("page_id", F.lit("template").alias("reason"))
     return own.union(slot).union(template).groupBy("page_id").agg(F.max("reason").alias("reason"))
 
 

@@ -141,3 +141,11 @@ def test_every_mark_of_a_page_is_compared(spark):
     many = " ".join(f"The {w} entry keeps [[heading]] as it was typed." for w in words)
     rows = [(i, f"P{i}", f"<h1>P{i}</h1><p>{PROSE} {many if not i else ''} The last entry reads [[{v}]] for all.</p>") for i, v in enumerate(["Alpha", "Beta"])]
     assert {(r.page_id, r.reason) for r in residue.residue_pages(_pages(spark, rows)).collect()} == {(0, "slot"), (1, "slot")}
+
+
+def test_long_page_templates(spark):
+    """A long text on several sites is a template under unrelated titles, a republished article under its own isn't."""
+    closed = " ".join(f"Our shop rests during {w} and every drawer stays shut." for w in "spring summer autumn winter january february march april may june july august".split())
+    rows = [(i, t, f"<h1>Gone fishing</h1><p>{closed}</p>") for i, t in enumerate(["Install Xyz", "Vocabulary files", "Buffers"])]
+    rows += [(10 + i, f"The output buffer | Site{i}", f"<h1>The output buffer</h1><p>{PROSE * 6}</p>") for i in range(3)]
+    assert len(closed) > 600 and {(r.page_id, r.reason) for r in residue.residue_pages(_pages(spark, rows)).collect()} == {(i, "template") for i in range(3)}
