@@ -50,11 +50,24 @@ def compatibility() -> dict[str, str]:
                 out[c] = to
         elif 0xFB00 <= n <= 0xFB17 and kind:
             out[c] = unicodedata.normalize("NFKC", c)
-        elif kind.startswith("<compat>") and 0x1C4 <= n <= 0x1F3:
+        elif kind.startswith("<compat>") and (0x1C4 <= n <= 0x1F3 or n in (0x132, 0x133, 0x149)):
             out[c] = unicodedata.normalize("NFKC", c)
     return out
 
 
+@lru_cache(1)
+def composed_class() -> str:
+    """A character class of the letters that NFC changes by themselves, such as the Kelvin sign."""
+    changed = [n for n in range(0x80, sys.maxunicode + 1) if not 0xD800 <= n < 0xE000 and unicodedata.normalize("NFC", chr(n)) != chr(n)]
+    ranges: list[list[int]] = []
+    for n in changed:
+        if ranges and n == ranges[-1][1] + 1:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
 @lru_cache(1)
 def tables() -> dict[str, object]:
     singles = {c: t for c, t in compatibility().items() if len(t) == 1}

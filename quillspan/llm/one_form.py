@@ -66,7 +66,7 @@ def form_sql(column: str = "text") -> str:
     for c, to in t["joined"].items():
         joined = f"replace({joined}, {_quoted(c)}, {_quoted(to)})"
     joined_class = "".join(t["joined"])
-    combining = "[\\p{M}\\x{1100}-\\x{11ff}]"
+    combining = f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{folding.composed_class()}]"
     own_cyr = "[\\x{0400}-\\x{052f}]"
     # a word that has letters of Latin and of another script
     mixed = "[\\p{L}\\p{M}\\p{Nd}]*(?:[A-Za-z\\x{00c0}-\\x{024f}][\\p{M}\\p{Nd}]*[\\x{0370}-\\x{052f}]|[\\x{0370}-\\x{052f}][\\p{M}\\p{Nd}]*[A-Za-z\\x{00c0}-\\x{024f}]|[\\x{0370}-\\x{03ff}][\\p{M}\\p{Nd}]*[\\x{0400}-\\x{052f}]|[\\x{0400}-\\x{052f}][\\p{M}\\p{Nd}]*[\\x{0370}-\\x{03ff}])[\\p{L}\\p{M}\\p{Nd}]*"
