@@ -11,7 +11,7 @@ That keeps the automaton small (4,000 patterns for 400 items). It is built once
 Defined results
 ---------------
 * words are runs of letters and digits after folding (``folding.fold``), case folding, and
-  reading look-alikes as Latin; tags, link targets, character references, emphasis and
+  reading look-alikes, also those of capitals, as Latin; tags, link targets, character references, emphasis and
   punctuation are no words. Numbers that only number a line ("3. ") may stand between words or not.
 * null or empty texts, and items of fewer than ``MIN_WORDS`` words, match nothing.
 * an item that occurs several times in a document is one row, with the longest passage;
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.folding import INVISIBLE_CLASS, fold, skeleton
+from quillspan.llm.folding import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, INVISIBLE_CLASS, fold, skeleton
 from quillspan.plans.tables import spread, table
 
 MIN_WORDS = 12
@@ -42,6 +42,15 @@ _INLINE_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|<![A-Za-z][^<>]*>", re.S)
 _TARGET = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _NO_WORD = re.compile(r"[\W_]+")
+#: Small letters whose capitals alone look Latin, so that a capital reads as its look-alike in either case.
+CAPITALS = {
+    ord(c.casefold()): a.lower()
+    for c, a in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)
+    if c.isupper() and c.casefold() not in CYRILLIC + GREEK
+}
+_WITH_NU = re.compile(r"[^\W_]*\u039d[^\W_]*")
+#: A word with Latin letters, or of look-alike capitals only.
+_LATIN_READ = re.compile(rf"[A-Za-z]|^[{''.join(c for c in CYRILLIC + GREEK if c.isupper())}]+$")
 _LINE_NUMBER = re.compile(r"(?m)^([ \t>*+#|-]*)\d{1,4}[.)](?=[ \t])")
 _RAW_WORD = re.compile(
     rf"(?:[^\W_]|[\u0300-\u036f\u3099\u309a{INVISIBLE_CLASS}]|&(?:#\w+|\w+);|</?(?:{_INLINE})(?:\s[^<>]*)?/?>)+", re.I
@@ -58,7 +67,12 @@ def normalised(text: str) -> str:
         text = _TARGET.sub("]", text)
     if "&" in text:
         text = _html.unescape(text)
-    text = skeleton(fold(text).casefold())
+    text = fold(text)
+    if not text.isascii():
+        if "\u039d" in text:  # Greek capital Nu reads as N, the small one as v
+            text = _WITH_NU.sub(lambda m: skeleton(m[0]) if _LATIN_READ.search(m[0]) else m[0], text)
+        text = skeleton(text.casefold()).translate(CAPITALS)
+    text = text.casefold()
     return " " + _NO_WORD.sub(" ", text).strip() + " "
 
 

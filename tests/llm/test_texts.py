@@ -49,6 +49,16 @@ def test_leakage_forms():
     assert all(leakage.normalised(f).split() == base for f in forms)
 
 
+def test_leakage_look_alikes_of_capitals():
+    own = "BETTER Keys MAKE New Tables; HAZE KNOWS The Mill"
+    latin, cyr, gre = "BKMHT", "\u0412\u041a\u041c\u041d\u0422", "\u0391\u0392\u0395\u0396\u0397\u039a\u039c\u039d\u03a1\u03a4\u03a7"
+    for alike in (str.maketrans(latin, cyr), str.maketrans("ABEZHKMNPTX", gre)):
+        assert leakage.normalised(own.translate(alike)) == leakage.normalised(own)
+    for text in ("\u0412\u0442\u043e\u0440\u0430\u044f \u043a\u043d\u0438\u0433\u0430", "\u039d\u03ad\u03bf \u03b2\u03b9\u03b2\u03bb\u03af\u03bf"):
+        assert leakage.normalised(text) == leakage.normalised(text.lower())
+    assert leakage.normalised("\u0412\u0422\u041e\u0420\u0410\u042f \u041a\u041d\u0418\u0413\u0410") == leakage.normalised("\u0432\u0442\u043e\u0440\u0430\u044f \u043a\u043d\u0438\u0433\u0430")
+
+
 def _tables(spark):
     pages = spark.createDataFrame(
         [(1, "https://a.x.example/1", "https://A.x.example/", "EN"), (2, "https://b.x.example/2", None, "deutsch"), (3, "https://c.test/3", "https://c.test", None)],
