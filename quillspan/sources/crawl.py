@@ -43,23 +43,23 @@ def robots_delay(robots: Column) -> Column:
     return F.nullif(F.regexp_extract(robots, r"(?i)Crawl-delay:\s*(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
 
 
-def expand_sitemaps(start: DataFrame, files: DataFrame, max_depth: int = 5) -> DataFrame:
+def expand_sitemaps(start: DataFrame, files: DataFrame) -> DataFrame:
     """``(root, url)``: all page addresses below the sitemaps ``start(root, address)``; ``files`` is ``(address, xml)``.
 
-    Indexes are followed level by level; an address seen under the same root isn't followed again.
+    Indexes are followed level by level until none is left; an address seen under the same root isn't
+    followed again, which ends cycles.
     """
     from quillspan.plans.tables import materialize
 
     seen = materialize(start.select("root", "address").distinct(), "sitemaps_0")
-    frontier, found = seen, None
-    for depth in range(1, max_depth + 1):
+    frontier, found, depth = seen, None, 0
+    while found is None or not frontier.isEmpty():
+        depth += 1
         loaded = frontier.join(files, "address")
-        urls = loaded.select("root", F.explode(sitemap_locs(F.col("xml"))).alias("url"))
+        urls = materialize(loaded.select("root", F.explode(sitemap_locs(F.col("xml"))).alias("url")), f"sitemap_urls_{depth}")
         found = urls if found is None else found.union(urls)
         children = loaded.select("root", F.explode(sitemap_locs(F.col("xml"), "sitemap")).alias("address")).distinct()
         frontier = materialize(children.join(seen, ["root", "address"], "left_anti"), f"sitemaps_{depth}")
-        if frontier.isEmpty():
-            break
         seen = seen.union(frontier)
     return found.distinct()
 

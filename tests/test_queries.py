@@ -83,6 +83,16 @@ def test_walk_and_chrome(spark):
     assert got["s", 0] == "own0 text0" and got["s", 9] == menu and got["t", 1] == menu
 
 
+def test_sitemaps_of_any_depth(spark):
+    from quillspan.sources import crawl
+
+    files = [(f"m{i}", f"<sitemapindex><sitemap><loc>m{i + 1}</loc></sitemap><sitemap><loc>m0</loc></sitemap></sitemapindex>") for i in range(7)]
+    files += [("m7", "<urlset><url><loc>https://a.example/deep</loc></url></urlset>")]
+    start = spark.createDataFrame([("r", "m0")], "root string, address string")
+    got = crawl.expand_sitemaps(start, spark.createDataFrame(files, "address string, xml string")).collect()
+    assert [tuple(r) for r in got] == [("r", "https://a.example/deep")]
+
+
 def test_hooks_vary_and_artifacts(spark):
     from quillspan.operators.dom import prune
 
