@@ -63,6 +63,9 @@ def windowed_counts(events: DataFrame, time: str, size: str, late: str = "1 hour
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Run a streaming query over what there is and write its rows to ``path``/out."""
+    """Run a streaming query over what there is and write its rows to ``path``/out; in mode complete, the last result."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    query.format("parquet").start(f"{path}/out").awaitTermination()
+    if mode == "complete":
+        query.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    else:
+        query.format("parquet").start(f"{path}/out").awaitTermination()

@@ -44,6 +44,15 @@ def test_stream_equals_batch(spark):
     assert streamed == batch
 
 
+def test_stream_windows_come_from_the_stream(spark, duck, monkeypatch):
+    from quillspan.streaming import convert_stream
+
+    assert rows(QUERIES["stream_windows"](spark, DATA).toPandas()) == rows(duck.sql(ORACLE["stream_windows"]).df())
+    counts = convert_stream.windowed_counts
+    monkeypatch.setattr(convert_stream, "windowed_counts", lambda events, *a: counts(events.where("false"), *a))
+    assert QUERIES["stream_windows"](spark, DATA).count() == 0
+
+
 def test_convert_handles_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "<p>a" * 5000, "z")], "id int, html string, markdown_ string")
     got = {r.id: r.markdown for r in convert(df, ["id", "markdown_"]).collect()}
