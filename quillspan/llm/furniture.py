@@ -10,6 +10,7 @@ inside paragraphs are never concerned.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from quillspan.llm.folding import match_form, pattern_form
 
@@ -195,6 +196,7 @@ ANYWHERE: tuple[tuple[str, str, str], ...] = (
 _COMPILED = {kind: re.compile(pattern_form("|".join(p))) for kind, p in PATTERNS.items()}
 _ANY = re.compile(pattern_form("|".join(f"(?:{'|'.join(p)})" for p in PATTERNS.values())))
 _HELD = tuple((kind, text, re.compile(p)) for kind, text, p in ANYWHERE)
+_HOLDS = re.compile("|".join(re.escape(text) for _, text, _ in ANYWHERE))
 _TARGET = re.compile(r"\]\([^()\s]*\)")
 #: Remarks that belong to a section of the article.
 REMARK = re.compile(
@@ -202,6 +204,7 @@ REMARK = re.compile(
 )
 
 
+@lru_cache(1 << 12)
 def normal(line: str) -> str:
     s = " ".join(line.split())
     if "](" in s:
@@ -209,13 +212,15 @@ def normal(line: str) -> str:
     return match_form(s).replace("'", "’")
 
 
+@lru_cache(1 << 14)
 def is_furniture(line: str) -> bool:
+    """By its wording; the lines of menus and footers come again on every page of a site."""
     if len(line) > MAX_CHARS:
         return False
     s = normal(line)
     if _ANY.match(s):
         return not REMARK.match(s)
-    return any(text in s and p.match(s) is not None for _, text, p in _HELD)
+    return _HOLDS.search(s) is not None and any(text in s and p.match(s) is not None for _, text, p in _HELD)
 
 
 def kind_of(line: str) -> str | None:

@@ -44,6 +44,16 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 HIDDEN = frozenset({"noscript"})
+_OUTER = frozenset({"body", "html"})
+_HOLDS = BLOCK | {"td", "th"}
+
+
+def _about(tag: str) -> tuple:
+    """What the parser asks about a tag: its name, block, cell, void, closes a paragraph, what else it ends."""
+    return tag, tag in BLOCK, tag in ("td", "th"), tag in VOID, tag in _CLOSES_P, _ENDS.get(tag)
+
+
+_TAGS = {t: _about(t) for t in (*BLOCK, *VOID, *CONTENT)}
 
 
 def line_key(line: str) -> str:
@@ -73,25 +83,21 @@ class Page:
 
     def _parse(self, html: str) -> None:
         start = _BODY.search(html) or _HEAD_END.search(html)
-        pos = start.end() if start else 0
         tags, parents, blocks = self.tags, self.parents, self.blocks
+        chars, link_chars, n_tags, link_tags = self.chars, self.link_chars, self.n_tags, self.link_tags
         stack = [0]
+        near = [0]  # of each open element, the block it is in
         text: list[str] = []
-        plain: list[str] = []
-        linked = 0
-        pre = code = link = 0
-        own = 0
+        plain: list[str] | None = None  # the text without code, once a block holds any
+        linked = pre = code = link = own = 0
 
         def flush() -> None:
-            nonlocal linked, own
-            if not text:
-                return
+            nonlocal linked, plain
             raw = "".join(text)
-            outside = "".join(plain)
+            outside = raw if plain is None else "".join(plain)
             text.clear()
-            plain.clear()
+            plain = None
             was, linked = linked, 0
-            at = own
             if "&" in raw:
                 raw, outside = _html.unescape(raw), _html.unescape(outside)
             if pre:
@@ -100,89 +106,92 @@ class Page:
                 s = " ".join(raw.split())
                 if not s:
                     return
-                lines = [(s, tags[at], outside)]
+                lines = [(s, tags[own], outside)]
             for s, kind, rest in lines:
-                blocks.append((s, at, kind, rest))
+                blocks.append((s, own, kind, rest))
                 worded = not pre and is_furniture(s)
                 self.furniture.append(worded)
                 n = len(s)
-                self.chars[at] += n
+                chars[own] += n
                 if worded or (not pre and was >= n * 0.9):
-                    self.link_chars[at] += n
+                    link_chars[own] += n
                 else:
-                    self.link_chars[at] += min(was, n)
+                    link_chars[own] += min(was, n)
 
         def pop_to(k: int) -> None:
             nonlocal pre, code, link
-            while len(stack) > k:
-                t = tags[stack.pop()]
+            for n in stack[k:]:
+                t = tags[n]
                 if t == "pre":
                     pre -= 1
                 elif t == "code":
                     code -= 1
                 elif t == "a":
                     link -= 1
+            del stack[k:], near[k:]
 
-        def block_element() -> int:
-            for n in reversed(stack):
-                if tags[n] in BLOCK or tags[n] in ("td", "th"):
-                    return n
-            return 0
-
-        for m in _TOKEN.finditer(html, pos):
-            if m.start() > pos:
-                piece = html[pos : m.start()]
-                if piece.strip():
-                    if not text:
-                        own = block_element()
+        parts = _TOKEN.split(html[start.end() :] if start else html)
+        last = len(parts) - 1
+        for at in range(0, last + 1, 5):
+            piece = parts[at]
+            if piece and (at < last or "<" not in piece):
+                if text:
+                    text.append(piece)
+                    if plain is not None:
+                        plain.append(" " if code and not piece.isspace() else piece)
+                    elif code and not piece.isspace():
+                        plain = [*text[:-1], " "]
+                    if link and not piece.isspace():
+                        linked += len(piece)
+                elif not piece.isspace():
+                    own = near[-1]
                     text.append(piece)
                     if code:
-                        plain.append(" ")
-                    else:
-                        plain.append(piece)
+                        plain = [" "]
                     if link:
                         linked += len(piece)
-                elif text:
-                    text.append(piece)
-                    plain.append(piece)
-            pos = m.end()
-            name = m[3]
+            if at == last:
+                break
+            name = parts[at + 3]
             if name is None:
                 continue
-            tag = name.lower()
-            if m[2]:
-                if tag in BLOCK or tag in ("td", "th"):
-                    if tag in ("td", "th"):
-                        if text:
-                            text.append(" ")
+            what = _TAGS.get(name)
+            if what is None:
+                what = _about(name.lower())
+            tag, is_block, is_cell, is_void, closes_p, ends = what
+            if parts[at + 2]:
+                if is_cell:
+                    if text:
+                        text.append(" ")
+                        if plain is not None:
                             plain.append(" ")
-                    else:
-                        flush()
-                if tag in VOID or tag in ("body", "html"):
+                elif is_block and text:
+                    flush()
+                if is_void or tag in _OUTER:
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == tag:
                         pop_to(k)
                         break
                 continue
-            if tag in ("html", "body", "head"):
+            if tag in _OUTER or tag == "head":
                 continue
-            if tag in BLOCK:
+            if is_block and text:
                 flush()
-            if tag in _CLOSES_P:
+            if closes_p:
                 for k in range(len(stack) - 1, 0, -1):
                     t = tags[stack[k]]
                     if t == "p":
                         pop_to(k)
                         break
-                    if t in BLOCK or t in ("td", "th"):
+                    if t in _HOLDS:
                         break
-            if tag in _ENDS:
-                closes, scope = _ENDS[tag]
+            if ends:
+                closes, scope = ends
                 for k in range(len(stack) - 1, 0, -1):
                     t = tags[stack[k]]
                     if t in closes:
-                        if tag == "tr":
+                        if tag == "tr" and text:
                             flush()
                         pop_to(k)
                         break
@@ -191,28 +200,25 @@ class Page:
             n = len(tags)
             tags.append(tag)
             parents.append(stack[-1])
-            self.chars.append(0)
-            self.link_chars.append(0)
-            self.n_tags.append(0)
-            self.link_tags.append(1 if link or tag == "a" else 0)
-            if tag in ("td", "th") and text:
+            chars.append(0)
+            link_chars.append(0)
+            n_tags.append(0)
+            link_tags.append(1 if link or tag == "a" else 0)
+            if is_cell and text:
                 text.append(" ")
-                plain.append(" ")
-            if tag not in VOID and not m[4].endswith("/"):
+                if plain is not None:
+                    plain.append(" ")
+            if not is_void and not parts[at + 4].endswith("/"):
                 stack.append(n)
+                near.append(n if is_block or is_cell else near[-1])
                 if tag == "pre":
                     pre += 1
                 elif tag == "code":
                     code += 1
                 elif tag == "a":
                     link += 1
-        rest = html[pos:]
-        if rest.strip() and "<" not in rest:
-            if not text:
-                own = block_element()
-            text.append(rest)
-            plain.append(rest)
-        flush()
+        if text:
+            flush()
 
     def _densities(self) -> None:
         for n in range(len(self.tags) - 1, 0, -1):

@@ -1,20 +1,26 @@
 """Problem 3: template residue and error-page text.
 
-Method: records of one template are aligned by what their lines share: a line with a marked
-token becomes a template with a slot (digits and the token masked), and the slots of all
-records of a template are brought together. A slot that retains a variable name, a default
-("your … here") or nothing, where records of its template differ only there, is residue. Each
-line with such gaps is a pattern of its fixed parts, and the lines of all pages, marked or
-filled, are compared with it: they meet by the hash of the first or last characters of the
-longer fixed part, then the whole pattern decides. A mark among at least ``LONG_CONTEXT`` words
-needs one line that holds something else; marks with less around them, defaults and blanks need
-two different ones on two pages. A blank must show: a space before a comma or full stop, a
-separator at the end or the beginning, empty brackets or quotes (not in a text with inline
-code, where the code may be what is missing). A line from which a word is
-missing without a trace reads like one written without it, and is none. Beside it, whole-page templates are found: main texts whose every line recurs over sites and titles
-(in a text of more than ``SHORT_CHARS`` a title of which half the words stand in the text is its
-own and doesn't count, so that articles republished under their titles stay), and main texts that consist of sentences known from error pages, demands for scripts, browser
-checks and filler.
+Method: records of one template are aligned by what their lines share, and what stands where
+they differ is a slot. Three alignments give the rows; each row tells its reason:
+
+* ``slot``: a delimited name (``{{x}}``, ``%x%``, ``[[x]]`` ...) keys its line with a gap in its place, coined
+  words and digits masked. It is a retained variable name where records of that key hold different
+  values, where the same name stands in different templates (of marks that only templating languages
+  use), or where filled lines of other pages fit the key. Defaults ("your … here") and blanks are
+  compared with filled lines in the same way. Filled lines meet keys by the hash of their first or
+  last characters, then the whole key decides: a mark among at least ``LONG_CONTEXT`` words needs
+  one line that holds something else, marks with less around them, defaults and blanks two different
+  ones on two pages. A blank must show: a space before a comma or full stop, a separator at the end
+  or the beginning, empty brackets or quotes (not in a text with inline code, where the code may be
+  what is missing). A line from which a word is missing without a trace is none.
+* ``template``: the whole main text, digits and codes masked, recurs on ``MIN_SITES`` sites under ``MIN_TITLES``
+  titles. Of a text of more than ``SHORT_CHARS`` a title of which half the words stand in the text is
+  its own and doesn't count, so that articles republished under their titles stay.
+* ``sentence``: at least half of the main text are sentences of such whole-page templates.
+
+What too few records show is confirmed from the single row: ``syntax`` (marks of templating languages)
+and ``wording`` (main texts of sentences known from error pages, demands for scripts, browser checks and
+filler). :func:`reasons` reports the rows by reason.
 
 The main text is the subtree of highest text density (``page_text``) without page furniture,
 remarks and code, so a real article that mentions such things or shows them as code, and its
@@ -32,22 +38,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.sites import site_of
-from quillspan.llm.folding import fold, match_form, pattern_form
-from quillspan.llm.furniture import MAX_CHARS, REMARK
-from quillspan.llm.furniture import normal as _normal
+from quillspan.llm.folding import fold, pattern_form
+from quillspan.llm.furniture import REMARK, normal
 from quillspan.llm.main_text import _signed
 from quillspan.llm.page_text import Page
 from quillspan.plans.tables import materialize, spread, table
 
-normal = lru_cache(4096)(_normal)
-
+#: Why a page is left out, the strongest first.
+REASONS = ("slot", "template", "sentence", "syntax", "wording")
 MIN_SITES = 3
 MIN_TITLES = 3
 #: Up to here a text counts as a template under any titles.
@@ -80,6 +84,7 @@ _EMPTY = re.compile(r"[(“«\"]\s*[)”»\"]")
 LONG_CONTEXT = 3
 #: Lengths of the parts of lines by which they are brought together with patterns.
 ANCHORS = (24, 8, 2)
+#: Slots of the sketch of patterns, which goes with the tasks (two of 128 KB at any size of the data).
 KEY_SLOTS = 1 << 20
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{2}|\w+")
 _VARIABLE = re.compile(r"[._]|^[A-Z]+$|^\d+$")
@@ -87,6 +92,7 @@ _COINED = re.compile(r"\b[A-Z][\w’-]*")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 _DIGITS = re.compile(r"\d+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+_LATIN = re.compile(r"[a-z]+")
 _REFERENCE = re.compile(
     pattern_form(r"(?:reference|incident|ray|event id|code|kennung|código|référence|код|stack|trace|request id|error code|番号|識別番号|参照)(?:\W.{0,60})?$")
 )
@@ -135,58 +141,68 @@ LOREM = frozenset(
 
 
 def _is_filler_latin(text: str) -> bool:
-    words = re.findall(r"[a-z]+", match_form(text))
+    words = _LATIN.findall(text)
     return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.7 * len(words)
 
 
-def bad_share(texts: list[str]) -> float:
-    """The share of the characters that stand in sentences of error pages, script demands or filler."""
+def bad_share(sentences: list[str], texts: list[str]) -> float:
+    """The share of the characters that stand in sentences of error pages, script demands or filler; both in one form."""
     bad = other = 0
-    half = sum(map(len, texts)) / 2
-    for text in sorted(texts, key=len, reverse=True):
-        if other > half:  # the rest can't make up for it
-            return 0.0
-        if _is_filler_latin(text):
-            bad += len(text)
+    half = sum(map(len, sentences)) / 2
+    if any(_is_filler_latin(x) for x in texts):
+        sentences = [s for x in texts if not _is_filler_latin(x) for s in _SENTENCE.split(x) if s]
+        bad = sum(len(x) for x in texts if _is_filler_latin(x))
+    for s in sentences:
+        if _REFERENCE.match(s):
             continue
-        for s in _SENTENCE.split(text):
-            s = normal(s)
-            if not s or _REFERENCE.match(s):
-                continue
-            if _BAD.match(s):
-                bad += len(s)
-            else:
-                other += len(s)
+        if _BAD.match(s):
+            bad += len(s)
+        else:
+            other += len(s)
+            if other > half and other > bad:  # the rest can't make up for it
+                rest = half * 2 - other - bad
+                if bad + rest < other:
+                    return 0.0
     return bad / (bad + other) if bad else 0.0
 
 
-def _masked(line: str) -> str:
-    return _DIGITS.sub("0", _HEX.sub("0", normal(line)))
+def _masked(text: str) -> str:
+    return _DIGITS.sub("0", _HEX.sub("0", text))
 
 
-def slots(line: str) -> list[tuple[str, str]]:
-    """(template, value) of each weak mark in a line."""
+def slots(line: str) -> list[tuple[str, str, bool]]:
+    """(template, value, whether only templating languages use such a mark) of each mark in a line."""
+    found = [(m, True) for m in STRONG.finditer(line)]
+    found += [(m, False) for m in WEAK.finditer(line) if not any(n.start() < m.end() and m.start() < n.end() for n, _ in found)]
     return [
         (
-            _DIGITS.sub("0", _COINED.sub("N", STRONG.sub("\0", line[: m.start()])) + "\0" + _COINED.sub("N", STRONG.sub("\0", line[m.end() :]))),
-            m[0].strip("[](){}%_ "),
+            _coined(STRONG.sub("\0", line[: m.start()])) + "\0" + _coined(STRONG.sub("\0", line[m.end() :])),
+            m[0].strip("[](){}<>%@$#=_- "),
+            strong,
         )
-        for m in WEAK.finditer(line)
+        for m, strong in found
     ]
 
 
-def _titled(title: str | None, whole: list[str], head: str | None) -> bool:
-    """Whether at least half the words of a title stand in the text or its heading."""
-    text = match_form(" ".join([*whole, head or ""]))
-    known = set(_WORD.findall(text))
-    words = _WORD.findall(match_form(title or ""))
-    return bool(words) and 2 * sum(w in known or ("\u3040" <= w[0] <= "\u9fff" and w in text) for w in words) >= len(words)
+def _titled(title: str | None, text: str) -> bool:
+    """Whether at least half the words of a title stand in the text (in its form for matching)."""
+    words = _WORD.findall(_masked(normal(title or "")))
+    return bool(words) and 2 * sum(w in text for w in words) >= len(words)
 
 
 def _coined(line: str) -> str:
     return _DIGITS.sub("0", _COINED.sub("N", line))
 
 
+def _key(place: int, anchor: str) -> int:
+    return _signed(f"{place} {anchor}")
+
+
+def _ends(two: str) -> int:
+    """An even slot of the sketch for two characters; for those at the end of a line the next one is taken."""
+    return (ord(two[0]) * 8191 + ord(two[1])) * 2 % KEY_SLOTS
+
+
 def _pattern(line: str, gaps: list[tuple[int, int]], least: int | None) -> dict | None:
     """The line as a pattern that has anything in its gaps; None where the fixed parts are too short to meet other lines."""
     parts, at = [], 0
@@ -208,8 +224,9 @@ def _pattern(line: str, gaps: list[tuple[int, int]], least: int | None) -> dict
     if least is None:
         least = 1 if sum(len(_WORD.findall(x)) for x in parts) >= LONG_CONTEXT else 2
     quoted = ["\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E" if x else "" for x in parts]
+    anchor = outer[:size] if side > 0 else outer[-size:]
     return {
-        "side": side * size, "anchor": outer[:size] if side > 0 else outer[-size:],
+        "key": _key(side * size, anchor), "ends": _ends(anchor[:2]) if side > 0 else _ends(anchor[-2:]) ^ 1,
         "pattern": "^" + ".+".join(quoted) + "$", "own": _coined(line), "least": least,
     }
 
@@ -226,141 +243,206 @@ def patterns(line: str, shown: bool = True) -> list[dict]:
     return [x for x in out if x]
 
 
-_PATTERN = "struct<side: int, anchor: string, pattern: string, own: string, least: int>"
+_PATTERN = "struct<key: bigint, ends: int, pattern: string, own: string, least: int>"
 _SCHEMA = (
-    "page_id bigint, title string, found boolean, whole bigint, own_title boolean, templates array<bigint>, marks array<bigint>,"
-    f" texts array<string>, raws array<bigint>, patterns array<{_PATTERN}>"
+    "page_id bigint, site bigint, title bigint, syntax boolean, wording boolean, whole bigint, own_title boolean,"
+    " sentences array<bigint>, sizes array<int>, templates array<bigint>, names array<bigint>, text string,"
+    f" patterns array<{_PATTERN}>"
 )
-
-
-def _sentences(texts: list[str]) -> dict[str, None]:
-    """The sentences of texts in one form, each once, in order."""
-    folded = fold("\n".join([" ".join(x.split()) for x in texts]))
-    return {s: None for x in folded.split("\n") for s in _SENTENCE.split(" ".join(x.split())) if s}
+_LONGS = pa.list_(pa.int64())
+_ARROW = [
+    pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), _LONGS, pa.list_(pa.int32()), _LONGS, _LONGS, pa.string(),
+    pa.list_(pa.struct([("key", pa.int64()), ("ends", pa.int32()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())])),
+]
+_NAMES = [x.split()[0] for x in _SCHEMA.replace("struct<key: bigint, ends: int, pattern: string, own: string, least: int>", "x").split(", ")]
+#: Where a mark, a default or a blank may stand at all; most texts have none and are not taken apart.
+_SUSPECT = re.compile(rf"{_HINT.pattern}|{_DEFAULT_HINT.pattern}| [,.](?:\s|$)|(?m:^[{_OPEN_END}])|[{_OPEN_END}](?m:$)|{_EMPTY.pattern}|[.!?…。！？]\s*[{_OPEN_END}]|[{_OPEN_END}][.!?…]")
+
+
+def _sentences(text: str) -> dict[str, None]:
+    """The sentences of a folded text, a block a line, each once, in order."""
+    return {s: None for x in text.split("\n") for s in _SENTENCE.split(x) if s}
+
+
+def _one_line(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _scan_page(title: str | None, html: str | None) -> tuple:
+    """What one page shows by itself, from ``syntax`` on in the order of ``_SCHEMA``."""
+    running = [_one_line(title)] if title and title.strip() else []
+    with_code: list[str] = []
+    less: list[str] = []
+    head = ""
+    whole: list[str] = []
+    if html and html.strip():
+        page = Page(html)
+        inside = page.main()
+        for (text, at, kind, outside), worded in zip(page.blocks, page.furniture, strict=True):
+            if at not in inside or kind == "pre":
+                continue
+            if outside is text or (outside := _one_line(outside)) == text:
+                running.append(text)
+            else:
+                running.append(outside)
+                if outside.replace(" ", "") != text.replace(" ", ""):
+                    with_code.append(text)
+                    less.append(outside)
+            if worded:
+                continue
+            form = normal(text)
+            if REMARK.match(form):
+                continue
+            if kind == "h1":
+                head = form
+            else:
+                whole.append(form)
+    shown = fold("\n".join(running))
+    coded = fold("\n".join(with_code)) if with_code else ""
+    syntax = False
+    marks: dict[tuple[int, int], None] = {}  # each template and name of the page once
+    gaps: list[dict] = []
+    if _SUSPECT.search(shown):
+        plain = _sentences(shown)
+        for x in plain:
+            if _HINT.search(x):
+                for template, name, strong in slots(x):
+                    syntax = syntax or strong or bool(_VARIABLE.search(name)) or not template.strip("\0 .,:;!?|–-")
+                    marks[_signed(template), _signed(name)] = None
+        if not syntax:
+            # what code leaves empty in the running text is no blank
+            beside_code = set(_sentences(fold("\n".join(less)))).difference(_sentences(coded)) if less else ()
+            gaps = [y for x in plain for y in patterns(x, not coded or x not in beside_code)]
+    key, own_title, wording = None, False, False
+    parts: list[str] = []
+    if whole:
+        text = "\n".join(whole)
+        given = [s for x in whole for s in _SENTENCE.split(x) if s]
+        wording = bad_share(given, whole) >= 0.5
+        parts = list(dict.fromkeys(_masked("\n".join(given)).split("\n")))
+        key = _signed("\n".join(sorted(parts)))
+        own_title = len(text) > SHORT_CHARS and _titled(title, f"{text}\n{head}")
+    elif head and html:
+        wording = bool(_BAD.match(head))
+    return (
+        syntax, wording, key, own_title, [_signed(x) for x in parts], [len(x) for x in parts],
+        [t for t, _ in marks], [n for _, n in marks], f"{shown}\n{coded}" if coded else shown, gaps,
+    )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page_id, title, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            running = [title] if title and title.strip() else []
-            with_code: list[str] = []
-            less: list[str] = []
-            head = None
-            whole: list[str] = []
-            if html and html.strip():
-                page = Page(html)
-                inside = page.main()
-                for (text, at, kind, outside), worded in zip(page.blocks, page.furniture, strict=True):
-                    if at not in inside or kind == "pre":
-                        continue
-                    running.append(outside)
-                    if outside != text and "".join(outside.split()) != "".join(text.split()):
-                        with_code.append(text)
-                        less.append(outside)
-                    if worded or (len(text) <= MAX_CHARS and REMARK.match(normal(text))):
+        pages = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+        columns = zip(*(_scan_page(title, html) for title, html in pages), strict=True) if batch.num_rows else [[]] * 10
+        made = [pa.array(x, k) for x, k in zip(columns, _ARROW[3:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], _NAMES)
+
+
+def _lines_near(ends: bytes, keys: bytes):
+    """Lines of ``(page_id, text)`` that meet a pattern by their first or last characters: two sketches, of two characters and of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = list(_sentences(text))
+                if not raw:
+                    continue
+                for line, own in zip(_coined("\n".join(raw)).split("\n"), raw, strict=True):
+                    if len(line) < 2:
                         continue
-                    if kind == "h1":
-                        head = text
-                    else:
-                        whole.append(text)
-            plain, coded = _sentences(running), _sentences(with_code)
-            beside_code = set(_sentences(less)).difference(coded) if less else ()
-            running = [x for x in plain if _HINT.search(x)]
-            texts = [*plain, *(x for x in coded if x not in plain)]
-            raws = [_signed(x) for x in texts]
-            texts = _coined("\n".join(texts)).split("\n") if texts else []
-            found = any(STRONG.search(x) for x in running)
-            pairs: dict[tuple[int, int], None] = {}  # each template and mark of the page once
-            if not found:
-                for x in running:
-                    for template, value in slots(x):
-                        if _VARIABLE.search(value) or not template.strip("\0 .,:;!?|–-"):
-                            found = True
-                        pairs[_signed(template), _signed(value)] = None
-            else:
-                for x in running:
-                    for m in STRONG.finditer(x):
-                        t = _DIGITS.sub("0", _COINED.sub("N", x[: m.start()]) + "\0" + _COINED.sub("N", x[m.end() :]))
-                        pairs[_signed(t), _signed(m[0])] = None
-            gaps = []
-            if not found:
-                # what code leaves empty in the running text is no blank
-                gaps = [y for x in plain for y in patterns(x, not coded or x not in beside_code)]
-            if not found and whole:
-                found = bad_share(whole) >= 0.5
-            if not found and not whole and head and html:
-                found = bool(_BAD.match(normal(head)))
-            key, own_title = None, False
-            if not found and whole:
-                lines = sorted({_masked(x) for x in whole})
-                key = _signed("\n".join([*lines, "", _masked(head) if head else ""]))
-                own_title = sum(map(len, whole)) > SHORT_CHARS and _titled(title, whole, head)
-            rows.append((page_id, title, found, key, own_title, [t for t, _ in pairs], [m for _, m in pairs], texts, raws, [] if found else gaps))
-        longs = pa.list_(pa.int64())
-        gaps = pa.list_(pa.struct([("side", pa.int32()), ("anchor", pa.string()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())]))
-        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), longs, longs, pa.list_(pa.string()), longs, gaps]
-        names = ["page_id", "title", "found", "whole", "own_title", "templates", "marks", "texts", "raws", "patterns"]
-        columns = zip(*rows, strict=True) if rows else [[]] * 10
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+                    places = ANCHORS if _has(ends, _ends(line[:2])) else ()
+                    if _has(ends, _ends(line[-2:]) ^ 1):
+                        places += tuple(-n for n in ANCHORS)
+                    for n in places:
+                        if len(line) >= abs(n):
+                            k = _key(n, line[:n] if n > 0 else line[n:])
+                            if _has(keys, k % KEY_SLOTS):
+                                rows.append((page_id, _signed(own), line, k))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["page_id", "raw", "line", "key"])
+
+    return run
+
+
+def _has(sketch: bytes, at: int) -> int:
+    return sketch[at >> 3] >> (at & 7) & 1
+
+
+def _sketch(slots_set: DataFrame) -> bytes:
+    """A bit a slot; there are ``KEY_SLOTS`` at most, whatever the size of the data."""
+    out = bytearray(KEY_SLOTS >> 3)
+    for (n,) in slots_set.distinct().toLocalIterator():
+        out[n >> 3] |= 1 << (n & 7)
+    return bytes(out)
 
 
 def _held_otherwise(keyed: DataFrame) -> DataFrame:
     """``(page_id)``: pages with a mark, a default or a blank where other lines of the pattern hold something else.
 
     Lines and patterns meet by the hash of a line's first or last characters; then the pattern decides.
-    Lines that meet none drop out before, by the slots of the patterns' hashes (``KEY_SLOTS`` at most).
+    Lines that meet none drop out before, by a sketch of the patterns' hashes; equal lines are combined
+    on the map side, so that a line repeated over a site is one row of the join.
     """
-    given = materialize(
-        keyed.select("page_id", F.explode("patterns").alias("x"))
-        .select("page_id", "x.*", F.xxhash64("x.side", "x.anchor").alias("key"), F.xxhash64("x.pattern", "x.own", "x.least").alias("id")),
-        "patterns",
-    )
-    distinct = materialize(given.select("id", "key", "pattern", "own", "least").dropDuplicates(["id"]), "distinct_patterns")
-    text = keyed.select("page_id", F.explode(F.arrays_zip("texts", "raws")).alias("x")).select("page_id", F.col("x.texts").alias("line"), F.col("x.raws").alias("raw"))
-    ends = {
-        f"k{n}{side}": F.when(F.length("line") >= n, F.xxhash64(F.lit(n * side), at("line", F.lit(n))))
-        for n in ANCHORS for side, at in ((1, F.left), (-1, F.right))
-    }
-    near = text.withColumns(ends)
-    slots_met = []
-    for k in ends:
-        slot = F.broadcast(distinct.select(F.pmod("key", F.lit(KEY_SLOTS)).alias(f"s{k}")).distinct())
-        near = near.join(slot, F.pmod(F.col(k), F.lit(KEY_SLOTS)) == slot[f"s{k}"], "left")
-        slots_met.append(F.when(F.col(f"s{k}").isNotNull(), F.col(k)))
-    near = near.select("page_id", "line", "raw", F.array_compact(F.array(*slots_met)).alias("keys")).where(F.coalesce(*slots_met).isNotNull())
-    met = near.select("page_id", "raw", "line", F.explode("keys").alias("key")).join(distinct, "key").where("line <> own AND line RLIKE pattern")
-    held = met.groupBy("id", "least").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min("page_id").alias("p"), F.max("page_id").alias("q"))
+    given = keyed.where("NOT syntax AND NOT wording AND size(patterns) > 0").select("page_id", F.explode("patterns").alias("x"))
+    given = materialize(given.select("page_id", "x.*", F.xxhash64("x.pattern", "x.own", "x.least").alias("id")), "patterns")
+    distinct = given.select("id", "key", "pattern", "own", "least").dropDuplicates(["id"])
+    keys = _sketch(given.select(F.pmod("key", F.lit(KEY_SLOTS)).cast("int")))
+    if not any(keys):
+        return given.select("page_id")
+    ends = _sketch(given.select("ends"))
+    near = keyed.where("text <> ''").select("page_id", "text").mapInArrow(_lines_near(ends, keys), "page_id bigint, raw bigint, line string, key bigint")
+    once = near.groupBy("key", "line").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min("page_id").alias("p"), F.max("page_id").alias("q"))
+    met = once.join(distinct, "key").where("line <> own AND line RLIKE pattern")
+    held = met.groupBy("id", "least").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("p").alias("p"), F.max("q").alias("q"))
     varied = held.where("least = 1 OR (a <> b AND p <> q)").select("id")
     return given.join(varied, "id", "left_semi").select("page_id")
 
 
 def residue_pages(pages: DataFrame, min_sites: int = MIN_SITES, min_titles: int = MIN_TITLES) -> DataFrame:
-    """``(page_id, reason)``: the pages to leave out, each once; reason is text, slot or template."""
-    scanned = spread(pages.where("page_id IS NOT NULL").select("page_id", "title", "html")).mapInArrow(_scan, _SCHEMA)
-    keyed = materialize(scanned, "residue")
-    site = pages.select("page_id", F.xxhash64(site_of(F.col("origin"), F.col("url"))).alias("site"))
-    own = keyed.where("found").select("page_id", F.lit("text").alias("reason"))
-
-    # records of one template that differ in the slot
-    marks = keyed.select("page_id", "found", F.explode(F.arrays_zip("templates", "marks")).alias("x")).select(
-        "page_id", "found", F.col("x.templates").alias("template"), F.col("x.marks").alias("mark")
+    """``(page_id, reason)``: the pages to leave out, each once, with the strongest reason."""
+    given = pages.where("page_id IS NOT NULL").select(
+        "page_id", F.xxhash64(site_of(F.col("origin"), F.col("url"))).alias("site"), F.xxhash64("title").alias("__title"), "title", "html"
     )
-    varied = marks.groupBy("template").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most")
-    slot = marks.where("NOT found").join(varied.select("template"), "template", "left_semi").select("page_id", F.lit("slot").alias("reason"))
-
-    slot = slot.union(_held_otherwise(keyed).select("page_id", F.lit("slot").alias("reason")))
-
-    # main texts made of lines that recur over sites and titles
-    texts = keyed.where("whole IS NOT NULL").select("page_id", "whole", "own_title", F.xxhash64("title").alias("title")).join(site, "page_id")
-    one = texts.where("NOT own_title").dropDuplicates(["whole", "site", "title"])
+    keyed = materialize(spread(given).mapInArrow(_scan, _SCHEMA), "residue")
+
+    def because(df: DataFrame, reason: str) -> DataFrame:
+        return df.select("page_id", F.lit(REASONS.index(reason)).alias("reason"))
+
+    # slots that retain a name
+    marks = keyed.where("size(templates) > 0").select("page_id", "syntax", F.explode(F.arrays_zip("templates", "names")).alias("x"))
+    marks = marks.select("page_id", "syntax", F.col("x.templates").alias("template"), F.col("x.names").alias("name"))
+    differ = lambda c: F.min(c) != F.max(c)
+    varied = marks.groupBy("template").agg(differ("name").alias("varied")).where("varied").select("template")
+    named = marks.where("syntax").groupBy("name").agg((differ("template") & differ("page_id")).alias("varied")).where("varied").select("name")
+    slot = marks.join(varied, "template", "left_semi").select("page_id")
+    slot = slot.union(marks.where("syntax").join(named, "name", "left_semi").select("page_id")).union(_held_otherwise(keyed))
+
+    # main texts that recur over sites and titles, and texts made of their sentences
+    one = keyed.where("whole IS NOT NULL AND NOT own_title").groupBy("whole", "site", "title").agg(F.lit(1).alias("one"))
     common = (
         one.groupBy("whole")
         .agg(F.count_distinct("site").alias("sites"), F.count_distinct("title").alias("titles"))
         .where((F.col("sites") >= min_sites) & (F.col("titles") >= min_titles))
+        .select("whole")
     )
-    template = texts.join(common.select("whole"), "whole", "left_semi").select("page_id", F.lit("template").alias("reason"))
-    return own.union(slot).union(template).groupBy("page_id").agg(F.max("reason").alias("reason"))
+    template = keyed.join(common, "whole", "left_semi").select("page_id", "sentences")
+    template = materialize(template, "templates")
+    known = template.select(F.explode("sentences").alias("sentence")).distinct()
+    sized = keyed.select("page_id", F.explode(F.arrays_zip("sentences", "sizes")).alias("x"), F.aggregate("sizes", F.lit(0), lambda a, b: a + b).alias("size"))
+    sized = sized.select("page_id", "size", F.col("x.sentences").alias("sentence"), F.col("x.sizes").alias("n")).join(known, "sentence", "left_semi")
+    made = sized.groupBy("page_id").agg((F.sum("n") * 2 >= F.min("size")).alias("made")).where("made")
+
+    found = because(slot, "slot").union(because(template, "template")).union(because(made, "sentence"))
+    found = found.union(because(keyed.where("syntax"), "syntax")).union(because(keyed.where("wording"), "wording"))
+    names = F.array(*map(F.lit, REASONS))
+    return found.groupBy("page_id").agg(F.get(names, F.min("reason")).alias("reason"))
+
+
+def reasons(found: DataFrame) -> DataFrame:
+    """The report: pages by what gave them away."""
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def without_residue(pages: DataFrame) -> DataFrame:
@@ -377,5 +459,10 @@ def p3_kept(spark, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "pages")).select("page_id", "url", "title")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kept": p3_kept}
+def p3_reasons(spark, sf_dir: str) -> DataFrame:
+    """Pages by reason."""
+    return reasons(residue_pages(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_kept": p3_kept, "p3_reasons": p3_reasons}
 ORACLE: dict[str, str] = {}

@@ -114,7 +114,19 @@ def test_slots_and_page_templates(spark):
     unseen = "<h1>Gone fishing</h1><p>The lights are out in this house tonight.</p>"
     pages = _pages(spark, slots + [(10 + i, f"Title {i}", unseen) for i in range(4)] + [(20, "One", f"<h1>One</h1><p>{PROSE}</p>"), (21, "Two", "<h1>Two</h1><p>((once))-only remark here</p>")])
     got = {r.page_id: r.reason for r in residue.residue_pages(pages).collect()}
-    assert got == {0: "slot", 1: "slot", 2: "text", **{10 + i: "template" for i in range(4)}}
+    assert got == {0: "slot", 1: "slot", 2: "slot", **{10 + i: "template" for i in range(4)}}
+
+
+def test_sentences_of_templates_and_names(spark):
+    """A page made of sentences of whole-page templates, and one name that stands in several templates."""
+    a, b = "<p>The lights are out in this house tonight.</p>", "<p>Knock twice and leave a note.</p>"
+    rows = [(i, f"Title {i}", a) for i in range(3)] + [(10 + i, f"Name {i}", b) for i in range(3)]
+    rows += [(20, "Both", a + b), (21, "Own", f"<p>Knock twice and leave a note.</p><p>{PROSE}</p>")]
+    rows += [(30, "{{ owner.name }}", f"<p>{PROSE}</p>"), (31, "Contact", f"<p>{PROSE} Write to {{{{owner.name}}}} today.</p>"), (32, "{{ once }}", f"<p>{PROSE} More.</p>")]
+    got = {r.page_id: r.reason for r in residue.residue_pages(_pages(spark, rows)).collect()}
+    want = {20: "sentence", 30: "slot", 31: "slot", 32: "syntax"}
+    assert {k: v for k, v in got.items() if k >= 20} == want and all(got[k] == "template" for k in (0, 1, 2, 10, 11, 12))
+    assert {r.reason: r.n_pages for r in residue.reasons(residue.residue_pages(_pages(spark, rows))).collect()} == {"template": 6, "sentence": 1, "slot": 2, "syntax": 1}
 
 
 def test_slots_that_other_records_fill(spark):
