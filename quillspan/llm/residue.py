@@ -177,7 +177,7 @@ def slots(line: str) -> list[tuple[str, str, bool]]:
     return [
         (
             _coined(STRONG.sub("\0", line[: m.start()])) + "\0" + _coined(STRONG.sub("\0", line[m.end() :])),
-            m[0].strip("[](){}<>%@$#=_- "),
+            "".join(m[0].split()),
             strong,
         )
         for m, strong in found
@@ -307,7 +307,7 @@ def _scan_page(title: str | None, html: str | None) -> tuple:
         for x in plain:
             if _HINT.search(x):
                 for template, name, strong in slots(x):
-                    syntax = syntax or strong or bool(_VARIABLE.search(name)) or not template.strip("\0 .,:;!?|–-")
+                    syntax = syntax or strong or bool(_VARIABLE.search(name.strip("[](){}%_"))) or not template.strip("\0 .,:;!?|–-")
                     marks[_signed(template), _signed(name)] = None
         if not syntax:
             # what code leaves empty in the running text is no blank
