@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import pandas_udf
 
-from quillspan.operators.dom import Node, events, parse
+from quillspan.operators.dom import CDATA, Node, events, parse
 from quillspan.operators.markdown import to_markdown
 from quillspan.operators.options import Options, minimal
 from quillspan.operators.plain import extract, to_safe_html, to_text
-from quillspan.operators.prepare import frontmatter_block, head_metadata, prepare
+from quillspan.operators.prepare import Plugin, apply_plugins, frontmatter_block, head_metadata, prepare
 from quillspan.operators.splitter import Split, split_markdown
 from quillspan.plans.tables import spread
 
@@ -30,7 +30,7 @@ _ARROW = {
 }
 
 
-Hook = Callable[[Node], None]
+Hook = Callable[[Node], None] | Plugin
 
 
 def convert_one(
@@ -38,19 +38,27 @@ def convert_one(
 ) -> tuple:
     """What is asked of one document; the tree is built once and rendered only where a rendering is asked for.
 
-    Hooks are functions of the tree's root that may change it, called in order before anything is taken from it.
+    Hooks are functions of the tree's root that may change it, called in order before anything is taken from it,
+    and plugins (``prepare.Plugin``), which run together after them.
     """
     if html is None:
         return (None,) * len(outputs)
     cut = bool(o.max_text) and len(html) > o.max_text
     if cut:
         html = html[: html.rfind(">", 0, o.max_text) + 1]
-    root = parse(html)
+    if o.overrides:
+        void = frozenset(t for t, x in o.overrides.items() if x.self_closing)
+        root = parse(html, CDATA in o.overrides, void)
+    else:
+        root = parse(html)
     for hook in hooks:
-        hook(root)
+        if not isinstance(hook, Plugin):
+            hook(root)
+    if plugins := tuple(h for h in hooks if isinstance(h, Plugin)):
+        apply_plugins(root, plugins)
     got: dict[str, object] = {"truncated": cut}
     if "metadata" in outputs or o.frontmatter:
-        got["metadata"] = head_metadata(root, o.meta_fields)
+        got["metadata"] = head_metadata(root, o.meta_fields, o.additional_fields)
     if "extracted" in outputs:
         got["extracted"] = [
             {"selector": s, "tag": t, "text": x, "attributes": list(a.items())} for s, t, x, a in extract(root, selectors)
@@ -65,7 +73,7 @@ def convert_one(
             got["safe_html"] = to_safe_html(root, o)
         if {"markdown", "chunks"} & set(outputs):
             md = to_markdown(root, o)
-            if o.frontmatter and (block := frontmatter_block(got["metadata"])):
+            if o.frontmatter and (block := frontmatter_block(got["metadata"], o.additional_fields)):
                 md = f"{block}\n\n{md}" if md else block
             got["markdown"] = md
             if "chunks" in outputs:

@@ -105,6 +105,7 @@ class _Builder:
         self.root = Node("#root", {}, None)
         self.top = self.root
         self.open: dict[str, int] = {}
+        self.flat: dict[str, int] = {}  # open elements flattened into the deepest one, by name
 
     def text(self, s: str) -> None:
         if s:
@@ -117,6 +118,8 @@ class _Builder:
     def pop(self) -> None:
         n = self.top
         self.open[n.tag] -= 1
+        if self.flat:
+            self.flat = {}
         if n.tag == "a" and not n.kids and "href" in n.attrs:
             label = n.attrs.get("title") or n.attrs.get("aria-label")
             if label:
@@ -181,6 +184,8 @@ class _Builder:
         if not self.close_implied(tag):
             return None
         if self.top.depth >= MAX_DEPTH:  # deeper elements are flattened into this one
+            if not closed:
+                self.flat[tag] = self.flat.get(tag, 0) + 1
             return None
         n = Node(tag, attrs, self.top)
         self.top.kids.append(n)
@@ -190,6 +195,9 @@ class _Builder:
         return n
 
     def end(self, tag: str) -> None:
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
         if self.open.get(tag) and (n := self.within({tag}, {"template"} - {tag})):
             self.pop_to(n)
 
@@ -199,8 +207,15 @@ class _Builder:
         return self.root
 
 
-def parse(html: str) -> Node:
-    """The tree of a page or fragment; its root is ``#root``. Incomplete tags at the end are dropped."""
+CDATA = "#cdata-section"
+
+
+def parse(html: str, cdata: bool = False, void: frozenset[str] = frozenset()) -> Node:
+    """The tree of a page or fragment; its root is ``#root``. Incomplete tags at the end are dropped.
+
+    CDATA sections are dropped, or become elements of that name; ``void`` names further tags without content.
+    """
+    none = T.VOID | void if void else T.VOID
     b = _Builder()
     pos, n = 0, len(html)
     while pos < n:
@@ -218,6 +233,11 @@ def parse(html: str) -> Node:
         if after == "!" or after == "?":
             if m := _COMMENT.match(html, at):
                 pos = m.end()
+            elif html.startswith("<![CDATA[", at):
+                end = html.find("]]>", at)
+                if cdata and (node := b.start(CDATA, {}, True)) is not None:
+                    node.kids.append(html[at + 9 : n if end < 0 else end])
+                pos = n if end < 0 else end + 3
             else:
                 end = html.find(">", at)
                 pos = n if end < 0 else end + 1
@@ -238,7 +258,7 @@ def parse(html: str) -> Node:
             break
         tag = m[1].lower()
         raw = html[m.end() : end]
-        closed = tag in T.VOID or raw.endswith("/")
+        closed = tag in none or raw.endswith("/")
         node = b.start(tag, parse_attributes(raw) if raw.strip(" /") else {}, closed)
         pos = end + 1
         if tag in T.RAW_TEXT and not closed:

@@ -10,9 +10,11 @@ from quillspan.operators import urls
 from quillspan.operators.dom import Node
 from quillspan.operators.entities import NAMED
 from quillspan.operators.options import Options
-from quillspan.operators.prepare import class_marks
+from quillspan.operators.prepare import RAW, class_marks
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH elements, a few frames each
+#: Unicode's White_Space, which the information separators U+001C to U+001F aren't part of.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _ALWAYS = re.compile(r"[\\*_~`\[]")
 _START = re.compile(r"(?:(#{1,6})(?=\s|$)|([-+](?=\s|$)|-{3,}(?=\s*$)|={3,}(?=\s*$))|(>)|(\d{1,9})([.)])(?=\s|$))")
@@ -27,8 +29,8 @@ def _integer(s: str | None, low: int, high: int) -> int | None:
 
 
 def _destination(url: str) -> str:
-    if re.search(r"[\s()<>]", url):
-        return "<" + url.replace("<", "\\<").replace(">", "\\>").replace("\n", "%0A") + ">"
+    if re.search(r"[\s()\\<>]", url):
+        return "<" + re.sub(r"[\\<>]", r"\\\g<0>", url).replace("\n", "%0A") + ">"
     return url
 
 
@@ -114,13 +116,16 @@ class Renderer:
     def __init__(self, o: Options):
         self.o = o
         self.pre = self.code = self.cell = self.link = self.heading = self.literal = 0
-        self.bold = self.italic = 0
+        self.bold = self.italic = self.tables = self.margin = 0
+        self.after: Node | str | None = None
         self.slugs: set[str] = set()
 
     # text -------------------------------------------------------------
     def _escaped(self, s: str, at_start: bool) -> str:
         if self.literal:
-            s = html_escape(s)
+            s = html_escape(s).replace("\n", "&#10;").replace("\r", "&#13;")
+            if self.link:
+                s = s.replace("[", "&#91;").replace("]", "&#93;")
             return s.replace("|", "&#124;") if self.cell else s
         if _ALWAYS.search(s):
             s = _ALWAYS.sub(r"\\\g<0>", s)
@@ -152,7 +157,7 @@ class Renderer:
         s = self._escaped(s, start)
         width = self.o.wrap_width
         if width and not (self.cell or self.heading or self.literal):
-            self._wrapped(s, out, width)
+            self._wrapped(s, out, max(1, width - self.margin))
         else:
             out.put(s)
 
@@ -176,10 +181,12 @@ class Renderer:
 
     # elements ---------------------------------------------------------
     def kids(self, n: Node, out: _Out) -> None:
-        for k in n.kids:
+        kids = n.kids
+        for i, k in enumerate(kids):
             if isinstance(k, str):
                 self._text(k, out)
             else:
+                self.after = kids[i + 1] if i + 1 < len(kids) else None
                 self.element(k, out)
 
     def sub(self, n: Node) -> str:
@@ -189,11 +196,12 @@ class Renderer:
 
     def element(self, n: Node, out: _Out) -> None:
         tag = n.tag
+        follows = self.after
         if tag in self.o.overrides:
-            before, after = self.o.overrides[tag]
-            out.put(before)
-            self.kids(n, out)
-            out.put(after)
+            self._overridden(n, out)
+            return
+        if tag == RAW:
+            out.put(n.kids[0])
             return
         if tag in T.SILENT:
             return
@@ -237,14 +245,34 @@ class Renderer:
                 out.want(2)
                 self.kids(n, out)
                 if tag == "p" and n.parent is not None and n.parent.tag == "li":
-                    after = n.parent.kids[next(i for i, k in enumerate(n.parent.kids) if k is n) + 1 :][:1]
-                    if after and isinstance(after[0], Node) and after[0].tag not in T.SPACED | T.PASSING:
+                    if isinstance(follows, Node) and follows.tag not in T.SPACED | T.PASSING:
                         out.put(" ")  # inline content goes on in the paragraph's line
                         return
                 out.want(2)
+        elif tag == "center" and self.tables > 1:
+            self._raw(n, out, tag)
         else:
             self.kids(n, out)
 
+    def _overridden(self, n: Node, out: _Out) -> None:
+        x = self.o.overrides[n.tag]
+        if x.alias:
+            n.tag, own = x.alias, n.tag
+            self.element(n, out)
+            n.tag = own
+            return
+        if x.enter is None and x.exit is None and n.tag in T.SILENT:
+            return
+        before, after = x.spacing or (0, 0)
+        if not x.inline:
+            out.want(before)
+        out.put(x.enter or "")
+        if not x.self_closing:
+            self.kids(n, out)
+        out.put(x.exit or "")
+        if not x.inline:
+            out.want(after)
+
     def _pair(self, n: Node, out: _Out, before: str, after: str) -> None:
         kind = "bold" if before == "**" else "italic" if before == "*" else ""
         if self.pre or self.code or (kind and getattr(self, kind)):
@@ -308,6 +336,14 @@ class Renderer:
         self.link -= 1
         to = urls.resolve(href, self.o.origin, "urls" in clean)
         text = body.strip()
+        if self.literal:
+            if not urls.is_safe_url(href):
+                out.put(text)
+                return
+            title = n.attrs.get("title")
+            quoted = lambda name, s: f' {name}="{html_escape(s).replace(chr(34), "&quot;")}"'
+            out.put(f"<a{quoted('href', to)}{quoted('title', title) if title else ''}>{text}</a>")
+            return
         if not text and "empty_link_text" in clean:
             return
         if self.heading and "self_link_headings" in clean and to.startswith("#"):
@@ -334,7 +370,7 @@ class Renderer:
         alt = n.attrs.get("alt", "")
         if urls.is_data_url(src) or (not alt and "empty_images" in self.o.clean):
             return
-        alt = _SPACE.sub(" ", alt).replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
+        alt = re.sub(r"[\\\[\]*_`~<&]", r"\\\g<0>", _SPACE.sub(" ", alt))
         to = urls.resolve(src, self.o.origin, "urls" in self.o.clean)
         out.put(f"![{alt}]({_destination(to)}{_title(n.attrs.get('title'))})")
 
@@ -351,8 +387,9 @@ class Renderer:
         if self.cell:
             out.put("<hr>")
         else:
+            shares = not out.parts and n.parent is not None and n.parent.tag == "li"  # the line of an item's marker
             out.want(2)
-            out.put("---")
+            out.put("***" if shares else "---")
             out.want(2)
 
     def _code(self, n: Node, out: _Out) -> None:
@@ -397,7 +434,9 @@ class Renderer:
         if self.cell or self.literal:
             self._raw(n, out, "blockquote") if self.literal else self.kids(n, out)
             return
+        self.margin += 2
         body = self.sub(n).strip("\n ")
+        self.margin -= 2
         if not body:
             return
         out.want(2)
@@ -417,18 +456,21 @@ class Renderer:
                 if k.strip():
                     self._text(k, out)
             elif k.tag == "li":
-                self._item(k, out, f"{number}. " if n.tag == "ol" else "- ")
+                self._item(k, out, f"{number}. " if n.tag == "ol" else "- ", nested and k is n.kids[0])
                 number += 1
             else:
                 self.element(k, out)
         out.want(1 if nested else 2)
 
-    def _item(self, n: Node, out: _Out, marker: str) -> None:
+    def _item(self, n: Node, out: _Out, marker: str, first: bool = False) -> None:
         inner = _Out()
+        self.margin += len(marker)
         self.kids(n, inner)
+        self.margin -= len(marker)
         body = inner.text().strip("\n")
         body = body if body.endswith("  ") else body.rstrip(" ")
-        out.want(1)
+        # an empty item right below a line of text would make that line a heading
+        out.want(2 if first and not body and out.tail and not out.tail.endswith("\n") else 1)
         indent = " " * len(marker)
         lines = body.split("\n")
         out.put(marker.rstrip() if not body else marker + "\n".join([lines[0], *(indent + x if x else "" for x in lines[1:])]))
@@ -461,15 +503,17 @@ class Renderer:
         self._raw(n, out, n.tag)
         self.literal -= 1
         if block:
-            out.want(2 if n.tag != "summary" else 1)
+            out.want(2)
         elif n.tag in ("dt", "dd") and not self.cell:
             out.want(1)
 
     def _figcaption(self, n: Node, out: _Out) -> None:
+        was, self.italic = self.italic, 1  # the caption is emphasised as a whole
         body = self.sub(n).strip()
+        self.italic = was
         if body:
             out.want(2)
-            out.put(f"*{body}*" if not body.startswith("*") else body)
+            out.put(f"*{body}*")
             out.want(2)
 
     def _table(self, n: Node, out: _Out) -> None:
@@ -482,6 +526,7 @@ class Renderer:
             out.want(2)
             out.put(text)
         width, lines = 0, []
+        self.tables += 1
         for row in rows:
             cells: list[str] = []
             aligns: list[str] = []
@@ -506,12 +551,14 @@ class Renderer:
             if len(cells) > width:
                 cells = [*cells[: width - 1], " ".join(x for x in cells[width - 1 :] if x)]
             lines.append(_row(cells))
+        self.tables -= 1
         if lines:
             out.want(2)
             out.put("\n".join(lines))
             out.want(2)
 
     def _raw_table(self, n: Node, out: _Out) -> None:
+        self.tables += n.tag == "table"
         out.put(f"<{n.tag}>")
         for k in n.kids:
             if isinstance(k, str):
@@ -522,6 +569,7 @@ class Renderer:
             else:
                 self.element(k, out)
         out.put(f"</{n.tag}>")
+        self.tables -= n.tag == "table"
 
 
 def _row(cells: list[str]) -> str:
@@ -565,5 +613,5 @@ def to_markdown(root: Node, o: Options) -> str:
     r = Renderer(o)
     out = _Out()
     r.kids(root, out)
-    md = out.text().lstrip().rstrip(" \t\n\x0b\f\r")
+    md = out.text().lstrip(WHITE).rstrip(" \t\n\x0b\f\r")
     return without_dead_fragments(md, r.slugs) if "fragments" in o.clean and "](#" in md else md

@@ -9,6 +9,18 @@ from quillspan.operators import tags as T
 CLEAN = ("urls", "fragments", "empty_links", "empty_link_text", "empty_images", "redundant_links", "self_link_headings")
 
 
+@dataclass(frozen=True)
+class Override:
+    """What a tag is written as: literals around its content, newlines around it, inline, without content; or as another tag."""
+
+    enter: str | None = None
+    exit: str | None = None
+    spacing: tuple[int, int] | None = None
+    inline: bool = False
+    self_closing: bool = False
+    alias: str = ""
+
+
 @dataclass(frozen=True)
 class Options:
     origin: str = ""
@@ -21,7 +33,9 @@ class Options:
     meta_fields: tuple[str, ...] = ()
     tailwind: bool = False
     wrap_width: int = 0
-    overrides: dict[str, tuple[str, str]] = field(default_factory=dict)
+    additional_fields: dict[str, str] = field(default_factory=dict)
+    #: tag -> an Override, the name of a tag it is written like, or (before, after)
+    overrides: dict[str, Override | str | tuple[str, str]] = field(default_factory=dict)
     max_text: int = 0
 
     def __post_init__(self) -> None:
@@ -29,6 +43,11 @@ class Options:
             raise ValueError(f"unknown clean rules {sorted(bad)}; there are {', '.join(CLEAN)}")
         if self.wrap_width < 0 or self.max_text < 0:
             raise ValueError("widths can't be negative")
+        for tag, x in self.overrides.items():
+            if isinstance(x, str):
+                self.overrides[tag] = Override(alias=x)
+            elif isinstance(x, tuple):
+                self.overrides[tag] = Override(*x)
 
 
 def options(**given) -> Options:

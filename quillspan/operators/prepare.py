@@ -12,13 +12,14 @@ from quillspan.operators.selectors import matcher
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s?:\s?none|visibility\s?:\s?hidden|position\s?:\s?(?:absolute|fixed))", re.I)
 #: The meta names that frontmatter takes by default.
 META_FIELDS = ("description", "keywords", "author", "date", "og:title", "og:description", "twitter:title", "twitter:description")
-#: Utility classes and what they mean in text.
+#: Utility classes and what they mean in text; other ``font-`` classes take weight away, ``invisible`` hides.
 _UTILITIES = {
+    "italic": ("style", "*"), "not-italic": ("style", ""),
     "font-bold": ("weight", "**"), "font-semibold": ("weight", "**"), "font-black": ("weight", "**"), "font-extrabold": ("weight", "**"),
-    "font-normal": ("weight", ""), "font-medium": ("weight", ""), "font-light": ("weight", ""),
-    "italic": ("style", "*"), "font-italic": ("style", "*"), "not-italic": ("style", ""),
-    "line-through": ("line", "~~"), "no-underline": ("line", ""),
-    "hidden": ("display", "hide"), "invisible": ("display", "hide"), "block": ("display", ""), "inline": ("display", ""), "flex": ("display", ""), "grid": ("display", ""), "visible": ("display", ""),
+    "font-medium": ("weight", "**"), "bold": ("weight", "**"),
+    "line-through": ("line", "~~"), "underline": ("line", "~~"), "no-underline": ("line", ""),
+    "hidden": ("display", "hide"), "block": ("display", ""), "flex": ("display", ""), "inline": ("display", ""),
+    "absolute": ("position", "hide"), "fixed": ("position", "hide"), "sticky": ("position", "hide"), "static": ("position", ""), "relative": ("position", ""),
 }
 _BREAKPOINTS = {"": 0, "sm": 1, "md": 2, "lg": 3, "xl": 4, "2xl": 5}
 
@@ -28,12 +29,15 @@ def class_marks(classes: str) -> tuple[str, str, bool]:
     best: dict[str, tuple[int, str]] = {}
     for c in classes.split():
         prefix, _, name = c.rpartition(":")
-        if prefix in _BREAKPOINTS and name in _UTILITIES:
-            group, mark = _UTILITIES[name]
+        if prefix not in _BREAKPOINTS:
+            continue
+        known = _UTILITIES.get(name) or (("weight", "") if "font-" in name else ("display", "hide") if "invisible" in name else None)
+        if known:
+            group, mark = known
             if _BREAKPOINTS[prefix] >= best.get(group, (-1, ""))[0]:
                 best[group] = (_BREAKPOINTS[prefix], mark)
     marks = [best[g][1] for g in ("weight", "style", "line") if g in best and best[g][1]]
-    return "".join(marks), "".join(reversed(marks)), best.get("display", (0, ""))[1] == "hide"
+    return "".join(marks), "".join(reversed(marks)), any(best.get(g, (0, ""))[1] == "hide" for g in ("display", "position"))
 
 
 def is_hidden(n: Node) -> bool:
@@ -115,10 +119,10 @@ def prepare(root: Node, o: Options) -> Node:
     return root
 
 
-def head_metadata(root: Node, more: tuple[str, ...] = ()) -> dict[str, str]:
-    """Title and the meta fields of the head; the last of a name holds."""
+def head_metadata(root: Node, more: tuple[str, ...] = (), given: dict[str, str] | None = None) -> dict[str, str]:
+    """Title and the meta fields of the head; the last of a name holds. Fields given beside it stay, but for title and description."""
     head = root.first("head")
-    out: dict[str, str] = {}
+    out: dict[str, str] = {k: v for k, v in (given or {}).items() if k not in ("title", "description")}
     for n in (head or root).walk():
         if n.tag == "title" and "title" not in out and (t := " ".join(n.text().split())):
             out["title"] = t
@@ -140,14 +144,75 @@ def yaml_scalar(value: str) -> str:
     return value
 
 
-def frontmatter_block(meta: dict[str, str]) -> str:
+def frontmatter_block(meta: dict[str, str], given: dict[str, str] | None = None) -> str:
     if not meta:
         return ""
     lines = ["---"]
     if "title" in meta:
         lines.append(f"title: {yaml_scalar(meta['title'])}")
-    rest = {k: v for k, v in meta.items() if k != "title"}
+    lines += [f"{k}: {yaml_scalar(v)}" for k, v in (given or {}).items() if k in meta and k not in ("title", "description")]
+    rest = {k: v for k, v in meta.items() if k != "title" and k not in (given or {})}
     if rest:
         lines.append("meta:")
         lines += [f"  {yaml_scalar(k) if ':' in k else k}: {yaml_scalar(v)}" for k, v in sorted(rest.items())]
     return "\n".join([*lines, "---"])
+
+
+class Plugin:
+    """Hooks of a conversion, run on the tree before it is rendered; each may be left out.
+
+    Order at an element: attributes, skip, enter; its content; exit. At the end of the document: end.
+    """
+
+    def process_attributes(self, n: Node) -> None: ...
+    def skip(self, n: Node) -> bool:
+        return False
+
+    def enter(self, n: Node) -> str | None: ...
+    def exit(self, n: Node) -> str | None: ...
+    def text(self, s: str, parent: Node) -> str | None:
+        """What stands for a text; None leaves it out."""
+        return s
+
+    def end(self, root: Node) -> None: ...
+
+
+RAW = "#raw"
+
+
+def apply_plugins(root: Node, plugins: tuple[Plugin, ...]) -> None:
+    """Run the hooks in document order. What enter and exit return stands literally at the beginning and end of the element."""
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        n, leaving = stack.pop()
+        if leaving:
+            for p in plugins:
+                if said := p.exit(n):
+                    n.kids.append(_raw(said, n))
+            continue
+        kids: list[Node | str] = []
+        for k in n.kids:
+            if isinstance(k, str):
+                for p in plugins:
+                    k = p.text(k, n) if k is not None else None
+                if k is not None:
+                    kids.append(k)
+                continue
+            for p in plugins:
+                p.process_attributes(k)
+            if not any([p.skip(k) for p in plugins]):
+                kids.append(k)
+        n.kids = kids
+        below = [k for k in kids if isinstance(k, Node)]
+        if n is not root:
+            stack.append((n, True))
+            n.kids = [*(_raw(said, n) for p in plugins if (said := p.enter(n))), *kids]
+        stack.extend((k, False) for k in reversed(below))
+    for p in plugins:
+        p.end(root)
+
+
+def _raw(said: str, parent: Node) -> Node:
+    n = Node(RAW, {}, parent)
+    n.kids.append(said)
+    return n

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -131,11 +132,12 @@ def split_markdown(md: str | None, o: Split = Split()) -> list[Chunk]:
     body = md[offset:]
     fences = _fences(body)
     out: list[Chunk] = []
+    breaks = [m.start() for m in re.finditer("\n", md)]
     for start, end, headings in sections(body, o.levels):
         own = [(a - start, b - start) for a, b, _ in fences if start <= a < end]
         for a, b in _cut(body[start:end], own, o):
             text = body[start + a : start + b]
-            first = md.count("\n", 0, offset + start + a + len(text) - len(text.lstrip("\n"))) + 1
+            first = bisect_left(breaks, offset + start + a + len(text) - len(text.lstrip("\n"))) + 1
             if o.strip_headers:
                 kept, fenced = [], False
                 for line in text.split("\n"):
@@ -147,7 +149,7 @@ def split_markdown(md: str | None, o: Split = Split()) -> list[Chunk]:
                 shown = text.strip("\n").rstrip()
             if not shown.strip():
                 continue
-            last = md.count("\n", 0, offset + start + a + len(text.rstrip("\n"))) + 1
+            last = bisect_left(breaks, offset + start + a + len(text.rstrip("\n"))) + 1
             code = next((lang for x, _, lang in fences if start + a <= x < start + b and lang), None)
             if o.each_line:
                 for line in shown.split("\n"):

@@ -10,7 +10,7 @@ def _set(names: str) -> frozenset[str]:
 VOID = _set("meta br hr img link area base col embed input keygen param source track wbr")
 RAW_TEXT = _set("title script style textarea iframe noscript noembed noframes datalist xmp plaintext")
 #: Without any output in Markdown and text.
-SILENT = _set("title script style template iframe noscript noembed noframes datalist head")
+SILENT = _set("title script style template iframe noscript noembed noframes datalist")
 IN_HEAD = _set("title meta link base style script noscript template")
 HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 #: Blocks with a blank line before and after.
