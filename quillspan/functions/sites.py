@@ -34,6 +34,26 @@ def registered_domain(host: Column) -> Column:
     return F.when(F.size(parts) <= 2, F.array_join(parts, ".")).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
 
 
+#: Public suffixes of more than one label that sites are commonly registered under; pass another list for more.
+PUBLIC_SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "net.uk", "me.uk", "ltd.uk", "plc.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au",
+    "co.nz", "org.nz", "net.nz", "govt.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "com.br", "org.br", "net.br", "gov.br",
+    "com.cn", "net.cn", "org.cn", "gov.cn", "com.tw", "com.hk", "com.sg", "com.my", "com.mx", "com.ar", "com.tr", "com.ua", "com.pl", "co.in",
+    "net.in", "org.in", "co.za", "org.za", "co.il", "org.il", "co.id", "co.th", "com.vn", "com.ph", "com.co", "com.pe", "com.ve", "com.eg",
+    "github.io", "gitlab.io", "pages.dev", "netlify.app", "vercel.app", "web.app", "firebaseapp.com", "herokuapp.com", "blogspot.com",
+    "readthedocs.io", "azurewebsites.net", "cloudfront.net", "fly.dev", "workers.dev",
+)
+
+
+def registrable_domain(host: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """The label before the public suffix, with it; an address or a bare suffix is its own domain."""
+    bare = F.regexp_replace(F.lower(host), "\\.+$", "")
+    parts = F.split(bare, "\\.")
+    last = lambda n: F.array_join(F.slice(parts, -n, n), ".")
+    domain = F.when(last(2).isin(list(suffixes)), last(3)).otherwise(last(2))
+    return F.when((F.size(parts) <= 2) | bare.rlike(r"^[0-9.]+$|:"), bare).otherwise(domain)
+
+
 def site_sql(origin: str, url: str) -> str:
     """The same as :func:`site_of` for DuckDB."""
     c = (

@@ -45,6 +45,10 @@ def yaml_quoted(text: Column) -> Column:
     return F.when(needs, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(text)
 
 
+#: Fixed value: a block of metadata at the beginning of a Markdown text, with the line that ends it.
+FRONT_BLOCK = r"(?s)^---[^\n]*\n.*?\n---[^\n]*\n?"
+
+
 def frontmatter_map(text: Column) -> Column:
     """The ``key: value`` lines of a leading block; the last of a key holds. Null without a block."""
     block = F.regexp_extract(text, r"(?s)^---[^\n]*\n(.*?)\n---", 1)
@@ -56,7 +60,7 @@ def frontmatter_map(text: Column) -> Column:
 
 def body_without_title(text: Column, title: Column) -> Column:
     """A body whose first line only repeats the title, without it."""
-    body = F.regexp_replace(text, r"(?s)^---[^\n]*\n.*?\n---[^\n]*\n?", "")
+    body = F.regexp_replace(text, FRONT_BLOCK, "")
     trimmed = F.regexp_replace(body, r"^\s+|\s+$", "")
     first = F.split(trimmed, "\n")[0]
     rest = F.regexp_replace(F.regexp_replace(trimmed, r"^[^\n]*\n?", ""), r"^\s+", "")

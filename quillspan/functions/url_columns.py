@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Prefixes of query keys that only track visits.
 TRACKING_PREFIX = "^(utm_|fbclid|gclid|mc_eid|msclkid|oly_)"
 #: Whole names of such keys, for the key under which pages are taken as one.
-TRACKING_NAMES = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid gclid gclsrc dclid gbraid wbraid msclkid"
-    " twclid li_fat_id mc_cid mc_eid ref source sessionid session_id sid _ga _gl _hsenc _hsmi _openstat yclid ymclid spm scm"
-).split()
+TRACKING_NAMES = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "gclsrc", "dclid", "gbraid", "wbraid",
+    "msclkid", "twclid", "li_fat_id", "mc_cid", "mc_eid", "ref", "source", "sessionid", "session_id", "sid", "_ga", "_gl", "_hsenc", "_hsmi",
+    "_openstat", "yclid", "ymclid", "spm", "scm",
+]
 #: Beginnings of paths that hold no content.
 NO_CONTENT = "^/(cdn-cgi/|_next/|_nuxt/|__|wp-admin/|wp-json/|wp-includes/|wp-content/uploads/|api/|assets/|static/)"
 #: Names that Windows keeps for devices.
-DEVICES = ["con", "prn", "aux", "nul", *(f"{p}{n}" for p in ("com", "lpt") for n in range(1, 10))]
+DEVICES = [
+    "con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9",
+    "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9",
+]
 
 
 def _parts(url: Column) -> tuple[Column, Column, Column]:
@@ -64,16 +70,34 @@ def is_safe_url(url: Column) -> Column:
     return ~p.rlike("^[a-z][a-z0-9+.-]*:") | p.rlike("^(https?|mailto|tel|ftp):")
 
 
-def resolve_rooted(url: Column, origin: Column) -> Column:
-    """Urls without dot segments or a directory of their own, the cases that need no kernel."""
-    host = F.regexp_extract(origin, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(origin, "^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments; ``..`` at the root goes nowhere."""
+    parts = F.split(path, "/")
+    root = F.array(F.lit(""))
+    done = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        root,
+        lambda got, p: F.when(p == "..", F.when(F.size(got) > 1, F.slice(got, 1, F.size(got) - 1)).otherwise(got)).when(p == ".", got).otherwise(F.array_append(got, p)),
+    )
+    # a path that ends in a dot segment ends in a slash
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
+    return F.array_join(ended, "/")
+
+
+def resolve(url: Column, base: Column) -> Column:
+    """``url`` as seen from the page at ``base``: its directory, and without dot segments. Fragments and empty urls stay."""
+    host = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    path, rest = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(own, "^(.*/)", 1), F.lit("")), F.lit("/")), path))
     return (
         F.when(url.isNull() | (url == "") | url.startswith("#"), url)
         .when(url.startswith("//"), F.concat(F.when(scheme == "", "https:").otherwise(scheme), url))
         .when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url)
-        .when(url.startswith("/"), F.concat(host, url))
-        .otherwise(F.concat(host, F.lit("/"), url))
+        .when(host == "", F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(url, "^/+", "")))
+        .when(path == "", F.concat(host, F.when(own == "", "/").otherwise(own), rest))
+        .otherwise(F.concat(host, _without_dots(whole), rest))
     )
 
 
@@ -109,6 +133,17 @@ def pattern_parts(pattern: Column) -> Column:
     )
 
 
+def pattern_of(pattern: str) -> tuple[str, str, bool]:
+    """The same of one pattern on the driver; a glob pattern without a host is an error."""
+    if not re.search(r"[*?\[]", pattern):
+        return pattern, "", False
+    full = pattern if pattern.startswith("http") else f"https://{pattern}"
+    m = re.match(r"([a-z]+://[^/*?\[]+)(.*)$", full, re.S)
+    if not m:
+        raise ValueError(f"{pattern!r} is no url pattern; one is like https://example.org/docs/**")
+    return m[1], m[2], True
+
+
 def starting_url(pattern: Column) -> Column:
     p = pattern_parts(pattern)
     before = F.regexp_extract(p["pattern"], r"^([^*?\[]*)", 1)

@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text_columns import body_without_title, frontmatter_map, toc_anchor
-from quillspan.plans.tables import materialize
+from quillspan.functions.text_columns import FRONT_BLOCK, body_without_title, frontmatter_map, toc_anchor
+from quillspan.plans.tables import materialize, spread
 
 SHINGLE, MIN_RUN, MIN_DOCS = 6, 12, 3
 
@@ -57,38 +59,60 @@ def _kept_text(words: list[str], covered: list[bool], min_run: int) -> tuple[str
     return "".join(parts), len(parts)
 
 
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _shingle_keys(words: list[str], k: int) -> np.ndarray:
+    """A 64-bit key of the ``k`` words from each position on."""
+    if len(words) < k:
+        return np.empty(0, np.int64)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    n = len(words) - k + 1
+    keys = np.zeros(n, np.uint64)
+    for i in range(k):
+        keys = (keys ^ (own[i : i + n] + np.uint64(i))) * np.uint64(_MIX)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
 def strip_chrome(docs: DataFrame, group: str, doc: str, text: str, threshold: float = 0.5, k: int = SHINGLE, min_run: int = MIN_RUN) -> DataFrame:
     """``(group, doc, text, n_tokens, n_kept)``: the words outside runs of at least ``min_run`` covered ones.
 
     A document of which nothing would be left keeps all its words. A kept span's words are joined by
-    spaces, spans by a blank line. Shingles are 64-bit keys in an array a document; only distinct keys
-    are exploded, counted with a map-side combine, and brought back to the documents that hold them.
+    spaces, spans by a blank line. Only the distinct keys of a document's shingles are shuffled, counted with a
+    map-side combine; a group has at most ``1 / threshold`` times the shingles of a document that recur, so they
+    go as one array a group to the documents, whose texts are read again and never shuffled.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    own = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(group, doc, words.alias("words"))
-    last = F.size("words") - k
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, k))))
-    own = materialize(own.withColumn("hashes", F.coalesce(hashes, F.array().cast("array<bigint>"))), "shingles")
-    distinct = own.select(group, doc, F.explode(F.array_distinct("hashes")).alias("key"))
-    n = own.where(F.size("hashes") > 0).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = distinct.groupBy(group, "key").agg(F.count(F.lit(1)).alias("df"))
-    enough = F.greatest(F.lit(2), F.ceil(F.lit(threshold) * F.col("n")))
-    chrome = df.join(n, group).where((F.col("n") >= MIN_DOCS) & (F.col("df") >= enough)).select(group, "key")
-    held = distinct.join(chrome, [group, "key"], "left_semi").groupBy(doc).agg(F.collect_list("key").alias("chrome"))
-    joined = own.join(held, doc, "left").select(group, doc, "words", "hashes", "chrome")
+    own = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(group, doc, F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(_shingle_keys([w for w in _SPACES.split(t) if w], k)) for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter((len(x) for x in made), np.int64, len(made))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], [group, "keys"])
+
+    held = materialize(spread(own.select(group, "text")).mapInArrow(keys, f"`{group}` {kinds[group]}, keys array<bigint>"), "shingles")
+    n = held.where(F.size("keys") > 0).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    df = held.select(group, F.explode("keys").alias("key")).groupBy(group, "key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    enough = F.greatest(F.lit(2), F.ceil(F.lit(threshold) * F.col("n")))
+    chrome = df.join(n, group).where((F.col("n") >= MIN_DOCS) & (F.col("df") >= enough)).groupBy(group).agg(F.collect_list("key").alias("chrome"))
+    joined = own.join(materialize(chrome, "chrome"), group, "left").select(group, doc, "text", "chrome")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, kept = [], [], []
-            for w, h, c in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                covered = [False] * len(w)
-                if c:
-                    mine = set(c)
-                    for i, x in enumerate(h):
-                        if x in mine:
-                            covered[i : i + k] = [True] * k
-                t, m = _kept_text(w, covered, min_run)
+            for t, c in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                w = [x for x in _SPACES.split(t) if x]
+                covered = np.zeros(len(w) + k, bool)
+                if c.is_valid and len(w) >= k:
+                    hits = np.flatnonzero(np.isin(_shingle_keys(w, k), c.values.to_numpy(zero_copy_only=False)))
+                    for i in range(k):
+                        covered[hits + i] = True
+                t, m = _kept_text(w, covered[: len(w)].tolist(), min_run) if covered.any() else (" ".join(w), len(w))
                 texts.append(t)
                 totals.append(len(w))
                 kept.append(m)
@@ -150,7 +174,7 @@ def excluded(url: Column, patterns: list[str]) -> Column:
         elif p.startswith("/"):
             tests.append(rest.rlike(glob_regex(p[:-1] + "**" if p.endswith("/*") else p)))
         else:
-            tests.append(rest.rlike(glob_regex(p)) | F.substring(rest, 2, 1_000_000).rlike(glob_regex(p)))
+            tests.append(rest.rlike(glob_regex(p)) | F.regexp_replace(rest, "^.", "").rlike(glob_regex(p)))
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
@@ -169,11 +193,16 @@ def walk_links(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFr
 
 
 def capped_variants(urls: DataFrame, order: str, most: int = 5) -> DataFrame:
-    """The urls without those beyond the first ``most`` query variants of their path; the others stay in order."""
-    parts = urls.withColumn("__path", F.regexp_extract("url", r"^([^?#]*)", 1))
-    first = parts.groupBy("__path", "url").agg(F.min(order).alias("__at"))
+    """``(url, n)``: the urls, each once, without those beyond the first ``most`` query variants of their path.
+
+    ``n`` counts the variants of a path in their order; urls without a query aren't counted and all stay, with 0.
+    """
+    first = urls.where("url IS NOT NULL").groupBy("url").agg(F.min(order).alias("__at"))
+    variant = F.regexp_extract("url", r"\?([^#]*)", 1) != ""
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
     rank = F.row_number().over(Window.partitionBy("__path").orderBy("__at", "url"))
-    return first.where(F.col("url").contains("?")).withColumn("n", rank).where(F.col("n") <= most).select("url", "n")
+    capped = first.where(variant).withColumn("__path", path).withColumn("n", rank).where(F.col("n") <= most)
+    return first.where(~variant).select("url", F.lit(0).alias("n")).union(capped.select("url", "n"))
 
 
 def page_groups(pages: DataFrame, site: str, path: str) -> DataFrame:
@@ -219,11 +248,13 @@ def described(description: Column, most: int) -> Column:
     return F.when(description.isNull() | (description == ""), "").otherwise(cut)
 
 
-def llms_index(pages: DataFrame, names: DataFrame, site: str, most: int = 100) -> DataFrame:
+def llms_index(pages: DataFrame, names: DataFrame, site: str, most: int = 100, sections: str = "", notes: str = "") -> DataFrame:
     """``(site, llms_txt)``: header, description, origin and the list of pages of each site.
 
     ``pages`` is ``(site, place, title, url, description)``, ``names`` ``(site, site_name, site_description)``.
-    A site's list is its artifact, one string; its lines are gathered in order by one aggregate.
+    ``sections`` (``crawling.section``) come before the list, ``notes`` (``crawling.notes``) after it.
+    A site's list is its artifact, one string; its lines are gathered in order by one aggregate. For sites
+    whose index is larger than a string can be, ``index_parts`` has the same lines as rows.
     """
     line = F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("]("), F.col("url"), F.lit(")"), described(F.col("description"), most), F.lit("\n"))
     lists = pages.select(site, "place", line.alias("line")).groupBy(site).agg(
@@ -232,9 +263,20 @@ def llms_index(pages: DataFrame, names: DataFrame, site: str, most: int = 100) -
     head = F.concat(
         F.lit("# "), F.coalesce(F.nullif("site_name", F.lit("")), F.lit("Site")), F.lit("\n\n"),
         F.when(F.coalesce("site_description", F.lit("")) == "", "").otherwise(F.concat(F.lit("> "), F.col("site_description"), F.lit("\n\n"))),
-        F.lit("Canonical Origin: "), F.col(site), F.lit("\n\n## Pages\n\n"),
+        F.lit("Canonical Origin: "), F.col(site), F.lit(f"\n\n{sections}## Pages\n\n"),
     )
-    return lists.join(names, site, "left").select(site, F.concat(head, "list").alias("llms_txt"))
+    end = F.lit(f"\n{notes}" if notes else "")
+    return lists.join(names, site, "left").select(site, F.concat(head, "list", end).alias("llms_txt"))
+
+
+def index_parts(pages: DataFrame, site: str, most: int = 160) -> DataFrame:
+    """``(site, place, line)``: the lines of the index, sorted over the cluster by site and place, with their blank lines.
+
+    No site is gathered anywhere: a range sort spreads a large one over many tasks. ``pages`` has ``breaks``
+    (``group_breaks``): a blank line before the page's.
+    """
+    line = F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("]("), F.col("url"), F.lit(")"), described(F.col("description"), most))
+    return pages.select(site, "place", F.concat(F.when(F.col("breaks"), "\n").otherwise(""), line).alias("line")).orderBy(site, "place")
 
 
 def llms_full(pages: DataFrame, site: str) -> DataFrame:
@@ -266,5 +308,5 @@ def llms_full(pages: DataFrame, site: str) -> DataFrame:
 
 def with_content(docs: DataFrame, text: str, least: int = 10) -> DataFrame:
     """The documents of which more than ``least`` characters are left without a front block and outer white space."""
-    body = F.regexp_replace(F.col(text), r"(?s)^---[^\n]*\n.*?\n---[^\n]*\n?", "")
+    body = F.regexp_replace(F.col(text), FRONT_BLOCK, "")
     return docs.where(F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) > least)

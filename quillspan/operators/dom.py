@@ -82,24 +82,6 @@ def _tag_end(html: str, at: int) -> int:
     return -1
 
 
-def _script_end(html: str, at: int) -> int:
-    """Where the end tag of a script begins: inside ``<!-- <script`` the next one doesn't count."""
-    escaped = nested = False
-    for m in _SCRIPT_STEP.finditer(html, at):
-        s = m[0]
-        if s == "<!--":
-            escaped = True
-        elif s == "-->":
-            escaped = nested = False
-        elif m[1]:
-            if not nested:
-                return m.start()
-            nested = False
-        elif escaped:
-            nested = True
-    return -1
-
-
 class _Builder:
     def __init__(self) -> None:
         self.root = Node("#root", {}, None)
@@ -208,6 +190,158 @@ class _Builder:
 
 
 CDATA = "#cdata-section"
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in T.RAW_TEXT - {"script", "plaintext"}}
+_BLANK = re.compile(r"[ \t\n\f\r](?=[^ \t\n\f\r]*$)")
+
+
+class Parser:
+    """A parser that takes a document in pieces; ``rest`` is what a piece leaves for the next.
+
+    Comments and raw text without output (scripts, styles and the like) are not kept while they go on,
+    unless ``keep`` asks for them.
+    """
+
+    def __init__(self, cdata: bool = False, void: frozenset[str] = frozenset(), keep: bool = True):
+        self.b = _Builder()
+        self.rest = ""
+        self.cdata, self.keep = cdata, keep
+        self.none = T.VOID | void if void else T.VOID
+        self.raw: tuple[str, Node | None] | None = None
+        self.body: list[str] = []
+        self.escaped = self.nested = False  # in a script: within <!--, and within <script in it
+
+    def _script_end(self, html: str, at: int) -> tuple[int, int]:
+        """Where the end tag begins (-1 without one) and up to where the marks are taken in: inside ``<!-- <script`` the next end tag doesn't count."""
+        seen = at
+        for m in _SCRIPT_STEP.finditer(html, at):
+            s = m[0]
+            seen = m.end()
+            if s == "<!--":
+                self.escaped = True
+            elif s == "-->":
+                self.escaped = self.nested = False
+            elif m[1]:
+                if not self.nested:
+                    return m.start(), seen
+                self.nested = False
+            elif self.escaped:
+                self.nested = True
+        return -1, seen
+
+    def _raw_text(self, html: str, pos: int, final: bool) -> int:
+        """Take in the text of a raw element from ``pos`` on; where it ends, or -1 if more is to come."""
+        tag, node = self.raw
+        n = len(html)
+        kept = node is not None and (self.keep or tag == "title" or tag not in T.SILENT)
+        if tag == "script":
+            stop, seen = self._script_end(html, pos)
+            hold = max(seen, n - 9)
+        elif tag == "plaintext":
+            stop, hold = -1, n
+        else:
+            m = _RAW_END[tag].search(html, pos)
+            stop, hold = (m.start() if m else -1), max(pos, n - len(tag) - 2)
+        end = html.find(">", stop) if stop >= 0 else -1
+        if end < 0 and not final:
+            upto = stop if stop >= 0 else hold
+            if kept:
+                self.body.append(html[pos:upto])
+            self.rest = html[upto:]
+            return -1
+        if kept:
+            self.body.append(html[pos:] if stop < 0 else html[pos:stop])
+            if body := "".join(self.body):
+                node.kids.append(decode(body) if tag in ("title", "textarea") else body)
+        self.body = []
+        self.raw = None
+        self.escaped = self.nested = False
+        if stop < 0:
+            return n
+        if node is not None:
+            self.b.end(tag)
+        return n if end < 0 else end + 1
+
+    def feed(self, html: str, final: bool = False) -> None:
+        if self.rest:
+            html, self.rest = self.rest + html, ""
+        b = self.b
+        pos, n = 0, len(html)
+        if self.raw is not None and (n or final):
+            pos = self._raw_text(html, 0, final)
+            if pos < 0:
+                return
+        while pos < n:
+            at = html.find("<", pos)
+            if at < 0:
+                cut = n
+                if not final:  # a reference may go on in the next piece, white space ends it
+                    m = _BLANK.search(html, pos)
+                    cut = m.start() if m else pos
+                b.text(decode(html[pos:cut]))
+                self.rest = html[cut:]
+                return
+            after = html[at + 1 : at + 2]
+            if not after and not final:
+                break
+            if not (after.isascii() and after.isalpha()) and after not in ("/", "!", "?"):
+                b.text(decode(html[pos : at + 1]))
+                pos = at + 1
+                continue
+            if at > pos:
+                b.text(decode(html[pos:at]))
+                pos = at
+            if after == "!" or after == "?":
+                if not final and n - at < 9 and ("<![CDATA[".startswith(html[at:]) or "<!--".startswith(html[at : at + 4]) and n - at < 7):
+                    break
+                if m := _COMMENT.match(html, at):
+                    if not final and m.end() == n and not m[0].endswith(("-->", "--!>", "<!-->", "<!--->")):
+                        self.rest = "<!-- " + html[max(at + 4, n - 3) :]
+                        return
+                    pos = m.end()
+                elif html.startswith("<![CDATA[", at):
+                    end = html.find("]]>", at)
+                    if end < 0 and not final:
+                        break
+                    if self.cdata and (node := b.start(CDATA, {}, True)) is not None:
+                        node.kids.append(html[at + 9 : n if end < 0 else end])
+                    pos = n if end < 0 else end + 3
+                else:
+                    end = html.find(">", at)
+                    if end < 0 and not final:
+                        break
+                    pos = n if end < 0 else end + 1
+                continue
+            if after == "/":
+                if m := _CLOSE.match(html, at):
+                    b.end(m[1].lower())
+                    pos = m.end()
+                else:
+                    end = html.find(">", at)
+                    if end < 0:
+                        break
+                    pos = end + 1
+                continue
+            m = _OPEN.match(html, at)
+            end = _tag_end(html, m.end())
+            if end < 0:
+                break
+            tag = m[1].lower()
+            raw = html[m.end() : end]
+            closed = tag in self.none or raw.endswith("/")
+            node = b.start(tag, parse_attributes(raw) if raw.strip(" /") else {}, closed)
+            pos = end + 1
+            if tag in T.RAW_TEXT and not closed:
+                self.raw = tag, node
+                pos = self._raw_text(html, pos, final)
+                if pos < 0:
+                    return
+        if not final and pos < n:
+            self.rest = html[pos:]
+
+    def finish(self) -> Node:
+        """The tree; an incomplete tag at the end is dropped."""
+        self.feed("", True)
+        return self.b.finish()
 
 
 def parse(html: str, cdata: bool = False, void: frozenset[str] = frozenset()) -> Node:
@@ -215,70 +349,9 @@ def parse(html: str, cdata: bool = False, void: frozenset[str] = frozenset()) ->
 
     CDATA sections are dropped, or become elements of that name; ``void`` names further tags without content.
     """
-    none = T.VOID | void if void else T.VOID
-    b = _Builder()
-    pos, n = 0, len(html)
-    while pos < n:
-        at = html.find("<", pos)
-        if at < 0:
-            b.text(decode(html[pos:]))
-            break
-        after = html[at + 1 : at + 2]
-        if not (after.isascii() and after.isalpha()) and after not in ("/", "!", "?"):
-            b.text(decode(html[pos : at + 1]))
-            pos = at + 1
-            continue
-        if at > pos:
-            b.text(decode(html[pos:at]))
-        if after == "!" or after == "?":
-            if m := _COMMENT.match(html, at):
-                pos = m.end()
-            elif html.startswith("<![CDATA[", at):
-                end = html.find("]]>", at)
-                if cdata and (node := b.start(CDATA, {}, True)) is not None:
-                    node.kids.append(html[at + 9 : n if end < 0 else end])
-                pos = n if end < 0 else end + 3
-            else:
-                end = html.find(">", at)
-                pos = n if end < 0 else end + 1
-            continue
-        if after == "/":
-            if m := _CLOSE.match(html, at):
-                b.end(m[1].lower())
-                pos = m.end()
-            else:
-                end = html.find(">", at)
-                if end < 0:
-                    break
-                pos = end + 1
-            continue
-        m = _OPEN.match(html, at)
-        end = _tag_end(html, m.end())
-        if end < 0:
-            break
-        tag = m[1].lower()
-        raw = html[m.end() : end]
-        closed = tag in none or raw.endswith("/")
-        node = b.start(tag, parse_attributes(raw) if raw.strip(" /") else {}, closed)
-        pos = end + 1
-        if tag in T.RAW_TEXT and not closed:
-            if tag == "plaintext":
-                stop = -1
-            elif tag == "script":
-                stop = _script_end(html, pos)
-            else:
-                found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
-                stop = found.start() if found else -1
-            body = html[pos:] if stop < 0 else html[pos:stop]
-            if node is not None and body:
-                node.kids.append(decode(body) if tag in ("title", "textarea") else body)
-            if stop < 0:
-                break
-            if node is not None:
-                b.end(tag)
-            end = html.find(">", stop)
-            pos = n if end < 0 else end + 1
-    return b.finish()
+    p = Parser(cdata, void)
+    p.feed(html, True)
+    return p.b.finish()
 
 
 def events(html: str) -> Iterator[tuple[int, int, int, int, str | None, dict[str, str] | None, str | None]]:

@@ -52,12 +52,14 @@ def html_escape(s: str) -> str:
 class _Out:
     """Text with newlines that are only written once something follows them."""
 
-    __slots__ = ("parts", "pending", "tail")
+    __slots__ = ("parts", "pending", "tail", "last", "base")
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.pending = 0
         self.tail = ""
+        self.last = ""  # how the last piece begins
+        self.base = 0  # the column at which the parts begin, once earlier ones were taken
 
     def want(self, newlines: int) -> None:
         self.pending = max(self.pending, newlines)
@@ -76,6 +78,7 @@ class _Out:
                 self.parts.append("\n" * (self.pending - have))
         self.pending = 0
         self.parts.append(s)
+        self.last = s[0]
         self.tail = (self.tail + s)[-4:] if len(s) < 4 else s[-4:]
 
     def trim(self) -> bool:
@@ -106,7 +109,17 @@ class _Out:
             if k >= 0:
                 return n + len(p) - k - 1
             n += len(p)
-        return n
+        return n + self.base
+
+    def take(self, held: str) -> str:
+        """Give away what is written, but for characters of ``held`` at its end."""
+        whole = "".join(self.parts)
+        given = whole.rstrip(held)
+        if given:
+            k = given.rfind("\n")
+            self.base = len(given) - k - 1 if k >= 0 else self.base + len(given)
+            self.parts = [whole[len(given) :]] if len(given) < len(whole) else []
+        return given
 
     def text(self) -> str:
         return "".join(self.parts)
@@ -358,7 +371,7 @@ class Renderer:
                 out.put(f"<{to}>")
                 return
         title = n.attrs.get("title")
-        if out.tail.endswith(")") and out.parts and out.parts[-1].startswith("[") and not out.pending:
+        if out.tail.endswith(")") and out.last == "[" and not out.pending:
             out.put(" ")  # two links aren't glued
         shown = f"[{text}]({_destination(to)}{_title(title if title != n.text().strip() else None)})"
         out.put(shown)
@@ -443,14 +456,18 @@ class Renderer:
         out.put("\n".join("> " + x if x else ">" for x in body.split("\n")))
         out.want(2)
 
+    @staticmethod
+    def first_number(n: Node) -> int:
+        at = _integer(n.attrs.get("start"), 0, 999_999_999)
+        return 1 if at is None else at
+
     def _list(self, n: Node, out: _Out) -> None:
         if self.cell:
             self._raw(n, out, n.tag)
             return
         nested = n.parent is not None and n.parent.tag == "li"
         out.want(1 if nested else 2)
-        at = _integer(n.attrs.get("start"), 0, 999_999_999)
-        number = 1 if at is None else at
+        number = self.first_number(n)
         for k in n.kids:
             if isinstance(k, str):
                 if k.strip():

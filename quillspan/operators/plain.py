@@ -140,32 +140,49 @@ def _safe_attributes(n: Node, tag: str, o: Options) -> str | None:
     return ""
 
 
-def to_safe_html(root: Node, o: Options) -> str:
-    parts: list[str] = []
-
-    def write(n: Node, pre: bool) -> None:
+class _Safe:
+    def __init__(self, o: Options):
+        self.o = o
+        self.parts: list[str] = []
+        self.tail = " "  # the last character; the beginning counts as a space
+
+    def put(self, s: str) -> None:
+        if s:
+            self.parts.append(s)
+            self.tail = s[-1]
+
+    def text(self, s: str, pre: bool) -> None:
+        if not pre:
+            s = _SPACE.sub(" ", s)
+            if self.tail in " \n":
+                s = s.lstrip(" ")
+        self.put(html_escape(s))
+
+    def kids(self, n: Node, pre: bool) -> None:
         for k in n.kids:
             if isinstance(k, str):
-                s = k if pre else _SPACE.sub(" ", k)
-                if not pre and (not parts or parts[-1].endswith((" ", "\n"))):
-                    s = s.lstrip(" ")
-                parts.append(html_escape(s))
-                continue
-            if k.tag in T.SILENT:
-                continue
-            tag = T.SAFE.get(k.tag)
-            attributes = _safe_attributes(k, tag, o) if tag else None
-            if tag is None or attributes is None:
-                write(k, pre)
-            elif tag in T.VOID:
-                parts.append(f"<{tag}{attributes}>")
+                self.text(k, pre)
             else:
-                parts.append(f"<{tag}{attributes}>")
-                write(k, pre or tag == "pre")
-                parts.append(f"</{tag}>")
+                self.element(k, pre)
 
-    write(root, False)
-    return "".join(parts).strip()
+    def element(self, k: Node, pre: bool = False) -> None:
+        if k.tag in T.SILENT:
+            return
+        tag = T.SAFE.get(k.tag)
+        attributes = _safe_attributes(k, tag, self.o) if tag else None
+        if tag is None or attributes is None:
+            self.kids(k, pre)
+            return
+        self.put(f"<{tag}{attributes}>")
+        if tag not in T.VOID:
+            self.kids(k, pre or tag == "pre")
+            self.put(f"</{tag}>")
+
+
+def to_safe_html(root: Node, o: Options) -> str:
+    w = _Safe(o)
+    w.kids(root, False)
+    return "".join(w.parts).strip()
 
 
 def extract(root: Node, selectors: tuple[str, ...]) -> list[tuple[str, str, str, dict[str, str]]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import negotiation, text_columns, url_columns
 from quillspan.functions.convert import convert, html_events, split_texts
 from quillspan.functions.sites import host_of, registered_domain, site_of, site_sql
-from quillspan.operators import corpus
+from quillspan.operators import corpus, crawling
 from quillspan.operators.options import minimal, options
 from quillspan.operators.selectors import selector_column
 from quillspan.operators.splitter import Split
@@ -190,14 +190,22 @@ def url_predicates(spark, d):
     )
 
 
+_REFS = ["", "#top", "//cdn.example/x.js", "/a/./b/../c?x=1#y", "../up/one.html", "next", "./", "a/../../../../z", "?q=1", "mailto:a@b.example", "x/.."]
+
+
 @query(
-    f"""SELECT page_id, h AS href, CASE WHEN h = '' OR starts_with(h, '#') THEN h WHEN starts_with(h, '//') THEN 'https:' || h
-      WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN o || h ELSE o || '/' || h END AS resolved
-    FROM (SELECT page_id, ({_HREF_SQL} || [url])[page_id % {len(_HREFS) + 1} + 1] AS h, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS o FROM pages)"""
+    f"""SELECT page_id, h AS href, CASE WHEN h = '' OR starts_with(h, '#') THEN h WHEN starts_with(h, '//') THEN regexp_extract(base, '^([a-z]+:)', 1) || h
+      WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '?') THEN o || own || h
+      ELSE o || array_to_string(done || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') || regexp_extract(h, '^[^?#]*(.*)$', 1) END AS resolved
+    FROM (SELECT *, list_reduce(list_transform(parts, lambda x: [x]), lambda acc, p: CASE WHEN p[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[:-2] ELSE acc END WHEN p[1] = '.' THEN acc ELSE acc || p END) AS done
+      FROM (SELECT *, string_split(CASE WHEN starts_with(h, '/') THEN regexp_extract(h, '^([^?#]*)', 1) ELSE regexp_extract(own, '^(.*/)', 1) || regexp_extract(h, '^([^?#]*)', 1) END, '/') AS parts
+        FROM (SELECT page_id, {_REFS}[page_id % {len(_REFS)} + 1] AS h, url || '/deep/er/page' AS base, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS o,
+          regexp_extract(url || '/deep/er/page', '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS own FROM pages)))"""
 )
 def url_resolve(spark, d):
-    h = F.element_at(F.array(*[F.lit(x) for x in _HREFS], F.col("url")), (F.col("page_id") % (len(_HREFS) + 1) + 1).cast("int"))
-    return pages(spark, d).select("page_id", h.alias("href"), url_columns.resolve_rooted(h, F.col("url")).alias("resolved"))
+    """References of all forms as seen from a page below each url: its directory, and without dot segments."""
+    h = F.element_at(F.array(*map(F.lit, _REFS)), (F.col("page_id") % len(_REFS) + 1).cast("int"))
+    return pages(spark, d).select("page_id", h.alias("href"), url_columns.resolve(h, F.concat("url", F.lit("/deep/er/page"))).alias("resolved"))
 
 
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -326,7 +334,7 @@ _FRONT_SQL = _FRONT.replace("\n", "' || chr(10) || '")
 )
 def frontmatter_fields(spark, d):
     """Parse a front block (the last of a key holds) and drop the title that the body repeats."""
-    p = pages(spark, d).select("page_id", F.coalesce("title", F.lit("none")).alias("t"), F.expr(_FRONT_SQL.replace("chr(10)", "chr(10)")).alias("md"))
+    p = pages(spark, d).select("page_id", F.coalesce("title", F.lit("none")).alias("t"), F.expr(_FRONT_SQL).alias("md"))
     m = text_columns.frontmatter_map(F.col("md"))
     body = text_columns.body_without_title(F.col("md"), F.trim("t"))
     return p.select("page_id", m["title"].alias("title"), m["lang"].alias("lang"), F.trim(body).alias("body"))
@@ -443,12 +451,14 @@ def bfs_depth(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT DISTINCT regexp_extract(url, '^([^?#]*)', 1) || '?v=' || (page_id % 9) AS url, page_id FROM pages),
-    f AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS path, url, min(page_id) AS since FROM u GROUP BY ALL)
-    SELECT url, n::INT AS n FROM (SELECT url, row_number() OVER (PARTITION BY path ORDER BY since, url) AS n FROM f) WHERE n <= 3"""
+    """WITH u AS (SELECT regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '' ELSE '?v=' || (page_id % 9) END AS url, page_id FROM pages),
+    f AS (SELECT url, regexp_extract(url, '^([^?#]*)', 1) AS path, contains(url, '?') AS variant, min(page_id) AS since FROM u GROUP BY ALL)
+    SELECT url, CASE WHEN variant THEN n::INT ELSE 0 END AS n FROM (SELECT *, row_number() OVER (PARTITION BY path, variant ORDER BY since, url) AS n FROM f) WHERE NOT variant OR n <= 3"""
 )
 def query_variants(spark, d):
-    u = F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?v="), (F.col("page_id") % 9).cast("string"))
+    """Three query variants of a path at most; urls without a query all stay."""
+    query = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("?v="), (F.col("page_id") % 9).cast("string")))
+    u = F.concat(F.regexp_extract("url", "^([^?#]*)", 1), query)
     return corpus.capped_variants(pages(spark, d).select(u.alias("url"), "page_id"), "page_id", 3)
 
 
@@ -457,8 +467,8 @@ def query_variants(spark, d):
 )
 def first_fetches(spark, d):
     """Of the results of one url the first received."""
-    w = Window.partitionBy("url").orderBy("received_at", "ts_ms", F.col("page_id").asc_nulls_first(), "success", F.col("depth").asc_nulls_first())
-    return table(spark, d, "crawl_results").withColumn("n", F.row_number().over(w)).where("n = 1").select("url", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "ts_ms", "success")
+    out = crawling.first_fetches(table(spark, d, "crawl_results"), "url", ["received_at", "ts_ms", "page_id", "success", "depth"])
+    return out.select("url", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "ts_ms", "success")
 
 
 @query(
@@ -469,9 +479,7 @@ def crawl_latency(spark, d):
     """Counters and delays of a crawl by depth."""
     lag = F.expr("unix_micros(CAST(received_at AS timestamp)) div 1000 - ts_ms")
     r = table(spark, d, "crawl_results").select(F.coalesce("depth", F.lit(-1)).alias("depth"), "success", lag.alias("lag"))
-    return r.groupBy("depth").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_ok"), F.sum("lag").alias("total_ms"), F.min("lag").alias("least_ms"), F.max("lag").alias("most_ms")
-    )
+    return crawling.latency(r, ["depth"], F.col("lag"))
 
 
 @query("SELECT origin, unnest(list_transform(regexp_extract_all(robots, '(?i)Sitemap:[ \\t]*([^\\r\\n]*)', 1), lambda x: trim(x))) AS sitemap FROM sites")
@@ -580,10 +588,8 @@ def group_breaks(spark, d):
 )
 def llms_txt(spark, d):
     """The index of each site as one artifact (its digest here)."""
-    first = F.struct("first_seen", "origin", "site_name", "description")
     nm = table(spark, d, "sites").groupBy(site_of(F.col("origin"), F.col("origin")).alias("site"))
     pick = lambda c: F.array_min(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("first_seen", "origin", F.col(c).alias("v")))))["v"]
-    assert first is not None
     names = nm.agg(pick("site_name").alias("site_name"), pick("description").alias("site_description"))
     out = corpus.llms_index(_placed(spark, d), names, "site")
     return out.select("site", F.md5("llms_txt").alias("digest"))
@@ -620,8 +626,8 @@ def content_filter(spark, d):
 )
 def start_urls(spark, d):
     """Start addresses of each site, once whether they end in a slash or not, five a site at most."""
-    u = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), F.regexp_replace("url", "/$", "").alias("url")).where("site IS NOT NULL").distinct()
-    return u.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where("n <= 5").select("site", "url")
+    u = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), "url")
+    return crawling.start_urls(u, "site", "url", "url", 5)
 
 
 @query(
@@ -631,11 +637,9 @@ def start_urls(spark, d):
 )
 def site_names(spark, d):
     """A site's name: the given one, the title of its home page, or its host."""
-    home = F.when(url_columns.url_path(F.col("url")).isin("", "/"), F.nullif("title", F.lit("")))
-    p = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), F.lit(None).cast("string").alias("name"), home.alias("home"))
-    s = table(spark, d, "sites").select(site_of(F.col("origin"), F.col("origin")).alias("site"), F.nullif("site_name", F.lit("")).alias("name"), F.lit(None).cast("string").alias("home"))
-    both = p.union(s).where("site IS NOT NULL").groupBy("site").agg(F.max("name").alias("name"), F.max("home").alias("home"))
-    return both.select("site", F.coalesce("name", "home", host_of(F.col("site"))).alias("name"))
+    p = pages(spark, d).select(site_of(F.col("origin"), F.col("url")).alias("site"), "url", "title", "description", F.col("page_id").alias("at"))
+    s = table(spark, d, "sites").select(site_of(F.col("origin"), F.col("origin")).alias("site"), F.col("site_name").alias("name"), "description")
+    return crawling.site_names(p, s).select("site", "name")
 
 
 # streams -----------------------------------------------------------------------
@@ -655,9 +659,19 @@ def stream_windows(spark, d):
     return counted.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("SELECT page_id AS doc_id, true AS complete, true AS equals_batch, length(html) > 700 AS in_parts FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL")
 def stream_markdown(spark, d):
-    """Pages cut into pieces, sent through the streaming converter in several batches; the same result as in one."""
+    """Pages cut into pieces and sent through the streaming converter in several batches; the joined parts equal the batch result."""
+    streamed = _streamed(spark, d)
+    from quillspan.streaming.convert_stream import joined_parts
+
+    n = streamed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    batch = convert(pages(spark, d).where("page_id IS NOT NULL AND html IS NOT NULL").withColumn("size", F.length("html")), ["page_id", "size"])
+    out = joined_parts(streamed).join(n, "doc_id").join(batch, F.col("doc_id") == F.col("page_id"))
+    return out.select("doc_id", "complete", F.expr("text <=> markdown").alias("equals_batch"), (F.col("size") > 700).alias("in_parts"))
+
+
+def _streamed(spark, d):
     from quillspan.streaming.convert_stream import convert_pieces, run_once
 
     path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
@@ -669,4 +683,4 @@ def stream_markdown(spark, d):
     pieces.repartition(3, "seq").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     run_once(convert_pieces(stream, timeout_ms=None), f"{path}/run")
-    return spark.read.schema("doc_id bigint, text string, complete boolean").parquet(f"{path}/run/out")
+    return spark.read.schema("doc_id bigint, part int, text string, complete boolean").parquet(f"{path}/run/out")

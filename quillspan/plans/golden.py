@@ -15,6 +15,7 @@ from quillspan.operators.options import Options, Override, minimal, options
 from quillspan.operators.splitter import Split
 
 QUERIES: dict[str, Callable] = {}
+INPUTS: list[str] = []  # of all cases
 ORACLE: dict[str, str] = {}
 
 
@@ -31,6 +32,7 @@ def literal_table(rows: list[tuple], columns: str) -> str:
 def golden(name: str, cases: list[tuple[str, str]], output: str = "markdown", o: Options = Options(), hooks: tuple = ()) -> None:
     """A query ``name`` that converts the first of each case; its SQL has the second."""
     inputs = [(n, html) for n, (html, _) in enumerate(cases)]
+    INPUTS.extend(html for html, _ in cases)
 
     def run(spark, d) -> DataFrame:
         df = spark.createDataFrame(inputs, "n int, html string")

@@ -1,15 +1,15 @@
 """Documents that arrive in pieces, converted incrementally with keyed state.
 
-The state of a document is its pieces so far, kept as received; the last piece releases the
-rendering, so the concatenated output equals the batch result for every way of cutting a text.
-Rules that need the whole document (dead fragments, frontmatter) need no special case. A document
-that never ends is evicted after ``timeout_ms``, and comes out as far as it came. A run to the
-end of what there is (``availableNow``) needs ``timeout_ms=None``: with a processing-time timeout
-Spark would go on with empty batches for ever.
+The state of a document is its converter (``operators.incremental``): the construct that is still open and what the
+parser holds back, and pieces that came before their turn. Each piece releases what can't change any more, so the
+parts of a document, joined in their order, equal the batch result for every way of cutting it. A document that
+never ends is evicted after ``timeout_ms``, and comes out as far as it came. A run to the end of what there is
+(``availableNow``) needs ``timeout_ms=None``: with a processing-time timeout Spark would go on with empty batches for ever.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,41 +17,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspan.functions.convert import convert_one
+from quillspan.operators.incremental import Converter
 from quillspan.operators.options import Options
 
 TIMEOUT_MS = 3_600_000
 
 
 def convert_pieces(pieces: DataFrame, output: str = "markdown", o: Options = Options(), timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
-    """From a stream of ``(doc_id bigint, seq int, piece string, is_last boolean)`` to ``(doc_id, text, complete)``."""
+    """From a stream of ``(doc_id bigint, seq int, piece string or binary, is_last boolean)`` to ``(doc_id, part, text, complete)``.
+
+    ``part`` is the number of the piece that released the text; pieces are taken in the order of ``seq`` from 0 on, one
+    that comes again counts once. ``complete`` stands on the last part.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, last = state.get if state.exists else ([], [], -1)
-        seqs, texts = list(seqs), list(texts)
-        if not state.hasTimedOut:
+        if state.exists:
+            blob, following, last = state.get
+            converter, waiting = pickle.loads(blob)
+        else:
+            converter, waiting, following, last = Converter(output, o), {}, 0, -1
+        rows = []
+        if state.hasTimedOut:
+            state.remove()
+            for k in sorted(waiting):
+                rows.append((key[0], k, converter.process(waiting[k]), False))
+            rows.append((key[0], 2**31 - 1, converter.finish(), False))
+        else:
             for b in batches:
-                seqs += b["seq"].tolist()
-                texts += b["piece"].fillna("").tolist()
-                ends = b.loc[b["is_last"], "seq"]
-                last = max(last, int(ends.max()) if len(ends) else -1)
-        whole = last >= 0 and len(set(seqs)) > last
-        if not whole and not state.hasTimedOut:
-            state.update((seqs, texts, last))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-            return
-        state.remove()
-        once = dict(zip(seqs, texts, strict=True))  # a piece that was sent again counts once
-        html = "".join(once[s] for s in sorted(once))
-        yield pd.DataFrame({"doc_id": [key[0]], "text": [convert_one(html, (output,), o)[0]], "complete": [whole]})
+                for k, piece, ends in zip(b["seq"].tolist(), b["piece"].tolist(), b["is_last"].tolist(), strict=True):
+                    if k >= following:
+                        waiting[k] = piece if piece is not None else ""
+                    if ends:
+                        last = max(last, k)
+            while following in waiting:
+                if text := converter.process(waiting.pop(following)):
+                    rows.append((key[0], following, text, False))
+                following += 1
+            if 0 <= last < following:
+                rows.append((key[0], following, converter.finish(), True))
+                state.remove()
+            else:
+                state.update((pickle.dumps((converter, waiting)), following, last))
+                if timeout_ms is not None:
+                    state.setTimeoutDuration(timeout_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "text", "complete"])
 
     return pieces.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id bigint, text string, complete boolean", "seqs array<int>, texts array<string>, last int",
+        step, "doc_id bigint, part int, text string, complete boolean", "converter binary, following int, last int",
         "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """``(doc_id, text, complete)``: the parts of each document as one text."""
+    own = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy("doc_id").agg(F.array_join(F.transform(own, lambda x: x["text"]), "").alias("text"), F.max("complete").alias("complete"))
+
+
 def windowed_counts(events: DataFrame, time: str, size: str, late: str = "1 hour") -> DataFrame:
     """Events per tumbling window and type; those later than ``late`` are dropped once their window is out."""
     return (

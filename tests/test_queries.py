@@ -1,6 +1,8 @@
 """Core queries against their SQL on the smallest tables, and operators on small fixtures."""
 
 import os
+import pickle
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,14 @@ from quillspan.functions import negotiation, url_columns
 from quillspan.functions.convert import convert, convert_one
 from quillspan.operators import corpus, urls
 from quillspan.operators.options import Options
+from quillspan.operators.incremental import Converter
+from quillspan.plans import core_queries, crawl_queries
 from quillspan.plans.core_queries import ORACLE, QUERIES
+from quillspan.plans.golden import INPUTS
+from quillspan.streaming import convert_stream
+
+QUERIES = QUERIES | crawl_queries.QUERIES
+ORACLE = ORACLE | crawl_queries.ORACLE
 
 DATA = "/root/testdata/sf0.001"
 SLOW = {"sitemap_roundtrip", "chrome_shingles", "stream_windows", "bfs_depth"}
@@ -39,14 +48,41 @@ def test_same_as_sql(spark, duck, name):
 def test_stream_equals_batch(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
-    streamed = {r.doc_id: (r.text, r.complete) for r in QUERIES["stream_markdown"](spark, DATA).collect()}
+    parts = core_queries._streamed(spark, DATA)
+    streamed = {r.doc_id: (r.text, r.complete) for r in convert_stream.joined_parts(parts).collect()}
     batch = {r.page_id: (r.markdown, True) for r in QUERIES["to_markdown"](spark, DATA).collect()}
-    assert streamed == batch
+    assert streamed == batch and parts.where("NOT complete").count() > len(batch)
+
+
+@pytest.mark.parametrize(("output", "o"), [("markdown", Options()), ("text", Options(wrap_width=30)), ("safe_html", Options()), ("markdown", Options(exclude=("nav",), wrap_width=25))])
+def test_incremental_equals_batch_for_every_cut(output, o):
+    rnd = random.Random(3)
+    documents = [*INPUTS, "<ul><li>a<li>b <b>c</b></ul><ol start=4><li>d<ul><li>e</ul></ol><nav>n<p>m</nav>tail", "<p>é \U0001f600 &amp;lt; x</p>" * 5]
+    for html in documents:
+        want = convert_one(html, (output,), o)[0]
+        for size in (1, 2, 5, rnd.randint(3, 40)):
+            c, got = Converter(output, o), ""
+            for i in range(0, len(html), size):
+                got += c.process(html[i : i + size])
+            assert got + c.finish() == want
+        raw = html.encode("utf-8", "replace")
+        c = Converter(output, o)
+        parts = [c.process(raw[i : i + 3]) for i in range(0, len(raw), 3)]
+        assert "".join(parts) + c.finish() == want
+
+
+def test_incremental_puts_out_early_and_keeps_little():
+    c = Converter()
+    got = [c.process(f"<div><p>Paragraph {i} of <b>many</b>.</p></div><script>{'x' * 500}</script><!-- {'y' * 500} -->") for i in range(200)]
+    assert sum(map(bool, got)) > 190 and len(pickle.dumps(c)) < 3000
+    said = []
+    whole = Converter(o=Options(frontmatter=True), selectors=("b",), on_end=lambda m, e: said.append((m, [x[2] for x in e])))
+    assert whole.process("<head><title>T</title></head><b>x</b>") == "" and whole.finish().startswith("---") and said == [({"title": "T"}, ["x"])]
+    c = Converter()
+    assert c.process("a\ud83d") + c.process("\ude00b") + c.finish() == "a\U0001f600b"
 
 
 def test_stream_windows_come_from_the_stream(spark, duck, monkeypatch):
-    from quillspan.streaming import convert_stream
-
     assert rows(QUERIES["stream_windows"](spark, DATA).toPandas()) == rows(duck.sql(ORACLE["stream_windows"]).df())
     counts = convert_stream.windowed_counts
     monkeypatch.setattr(convert_stream, "windowed_counts", lambda events, *a: counts(events.where("false"), *a))
