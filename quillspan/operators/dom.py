@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from quillspan.operators import tags as T
 from quillspan.operators.entities import decode
@@ -12,6 +13,11 @@ MAX_DEPTH = 512
 _OPEN = re.compile(r"<([a-zA-Z][^\s/>\x00]*)")
 _CLOSE = re.compile(r"</([a-zA-Z][^\s/>\x00]*)[^>]*>")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Attributes of the usual forms up to the end of a tag.
+_PLAIN_TAG = re.compile(r"""(?:\s+[^\s"'<>=/]+(?:=(?:"[^">]*"|'[^'>]*'|[^\s"'<>=`]+))?)*\s*/?>""")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Start tags that may end other elements.
+_ENDS_OTHERS = T.CLOSES_P | T.HEADINGS | {"a", "td", "th", "tr", "thead", "tbody", "tfoot", "select", "option", "optgroup", "li", "dt", "dd"}
 _COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))", re.S)
 _SCRIPT_STEP = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 
@@ -52,6 +58,11 @@ class Node:
 
 def parse_attributes(s: str) -> dict[str, str]:
     """Names in lower case, values decoded, the first of a name holds, no value is ''."""
+    return dict(_attributes(s))
+
+
+@lru_cache(1 << 12)
+def _attributes(s: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(s):
         name = m[1].lower()
@@ -62,6 +73,13 @@ def parse_attributes(s: str) -> dict[str, str]:
 
 def _tag_end(html: str, at: int) -> int:
     """The place of the ``>`` that ends the tag begun before ``at``; -1 without one."""
+    first = html.find(">", at)
+    if first < 0:
+        return -1
+    if html.find('"', at, first) < 0 and html.find("'", at, first) < 0:
+        return first
+    if _PLAIN_TAG.match(html, at, first + 1):
+        return first
     quote = ""
     i, n = at, len(html)
     after_equals = False
@@ -163,7 +181,7 @@ class _Builder:
         return True
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> Node | None:
-        if not self.close_implied(tag):
+        if (tag in _ENDS_OTHERS or self.open.get("head")) and not self.close_implied(tag):
             return None
         if self.top.depth >= MAX_DEPTH:  # deeper elements are flattened into this one
             if not closed:
@@ -180,7 +198,9 @@ class _Builder:
         if self.flat.get(tag):
             self.flat[tag] -= 1
             return
-        if self.open.get(tag) and (n := self.within({tag}, {"template"} - {tag})):
+        if self.top.tag == tag:
+            self.pop()
+        elif self.open.get(tag) and (n := self.within({tag}, {"template"} - {tag})):
             self.pop_to(n)
 
     def finish(self) -> Node:
@@ -283,7 +303,7 @@ class Parser:
             after = html[at + 1 : at + 2]
             if not after and not final:
                 break
-            if not (after.isascii() and after.isalpha()) and after not in ("/", "!", "?"):
+            if after not in _LETTERS and after not in ("/", "!", "?"):
                 b.text(decode(html[pos : at + 1]))
                 pos = at + 1
                 continue

@@ -16,6 +16,9 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH element
 #: Unicode's White_Space, which the information separators U+001C to U+001F aren't part of.
 WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.compile(r"[ \t\n\f\r]+")
+_RUN = re.compile(r"[\t\n\f\r]|  ")
+#: What may need an escape anywhere; most texts have none of it.
+_SPECIAL = re.compile(r"[\\*_~`\[<&\]|]")
 _ALWAYS = re.compile(r"[\\*_~`\[]")
 _START = re.compile(r"(?:(#{1,6})(?=\s|$)|([-+](?=\s|$)|-{3,}(?=\s*$)|={3,}(?=\s*$))|(>)|(\d{1,9})([.)])(?=\s|$))")
 _REFERENCE = re.compile(r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|([A-Za-z][A-Za-z0-9]*));")
@@ -140,6 +143,8 @@ class Renderer:
             if self.link:
                 s = s.replace("[", "&#91;").replace("]", "&#93;")
             return s.replace("|", "&#124;") if self.cell else s
+        if not _SPECIAL.search(s):
+            return self._at_start(s) if at_start and not self.heading else s
         if _ALWAYS.search(s):
             s = _ALWAYS.sub(r"\\\g<0>", s)
         if "<" in s:
@@ -150,15 +155,21 @@ class Renderer:
             s = s.replace("]", "\\]")
         if self.cell and "|" in s:
             s = s.replace("|", "\\|")
-        if at_start and not self.heading and (m := _START.match(s)):
-            s = s[: m.start(5)] + "\\" + s[m.start(5) :] if m[5] else "\\" + s
+        return self._at_start(s) if at_start and not self.heading else s
+
+    @staticmethod
+    def _at_start(s: str) -> str:
+        """A text at the beginning of a line, where it would begin a heading, an item, a quote or a rule."""
+        if m := _START.match(s):
+            return s[: m.start(5)] + "\\" + s[m.start(5) :] if m[5] else "\\" + s
         return s
 
     def _text(self, s: str, out: _Out) -> None:
         if self.pre:
             out.put(s.replace("\n", "<br>") if self.cell else s)
             return
-        s = _SPACE.sub(" ", s)
+        if _RUN.search(s):
+            s = _SPACE.sub(" ", s)
         if self.code:
             out.put(s)
             return
@@ -226,29 +237,9 @@ class Renderer:
                 self._pair(n, out, before, after)
                 out.want(2 if block else 0)
                 return
-        method = getattr(self, f"_{tag}", None) if tag.isalnum() else None
-        if tag in T.HEADINGS:
-            self._heading(n, out)
-        elif tag in ("strong", "b"):
-            self._pair(n, out, "**", "**")
-        elif tag in ("em", "i", "cite"):
-            self._pair(n, out, "*", "*")
-        elif tag == "dfn":
-            self._pair(n, out, "**", "**")
-        elif tag in ("del", "s", "strike"):
-            self._pair(n, out, "~~", "~~")
-        elif tag == "q":
-            self._pair(n, out, '"', '"')
-        elif tag in T.KEPT_INLINE:
-            self._pair(n, out, f"<{tag}>", f"</{tag}>")
-        elif tag in T.BACKTICKED:
-            self._code(n, out)
-        elif tag in T.LITERAL:
-            self._kept(n, out)
-        elif tag in ("ul", "ol"):
-            self._list(n, out)
-        elif method and tag in ("a", "img", "br", "hr", "pre", "code", "blockquote", "table", "figcaption", "li"):
-            method(n, out)
+        handler = _HANDLERS.get(tag)
+        if handler is not None:
+            handler(self, n, out)
         elif tag in T.SPACED:
             if self.cell or (self.link and tag != "p"):
                 if not out.line_start() and tag in ("p", "div"):
@@ -258,7 +249,7 @@ class Renderer:
                 out.want(2)
                 self.kids(n, out)
                 if tag == "p" and n.parent is not None and n.parent.tag == "li":
-                    if isinstance(follows, Node) and follows.tag not in T.SPACED | T.PASSING:
+                    if isinstance(follows, Node) and follows.tag not in _BLOCKS:
                         out.put(" ")  # inline content goes on in the paragraph's line
                         return
                 out.want(2)
@@ -589,6 +580,26 @@ class Renderer:
         self.tables -= n.tag == "table"
 
 
+def _as_pair(before: str, after: str):
+    return lambda r, n, out: r._pair(n, out, before, after)
+
+
+_BLOCKS = T.SPACED | T.PASSING
+_HANDLERS = (
+    {t: Renderer._heading for t in T.HEADINGS}
+    | {t: _as_pair(f"<{t}>", f"</{t}>") for t in T.KEPT_INLINE}
+    | {t: Renderer._code for t in (*T.BACKTICKED, "code")}
+    | {t: Renderer._kept for t in T.LITERAL}
+    | {t: _as_pair("**", "**") for t in ("strong", "b", "dfn")}
+    | {t: _as_pair("*", "*") for t in ("em", "i", "cite")}
+    | {t: _as_pair("~~", "~~") for t in ("del", "s", "strike")}
+    | {
+        "q": _as_pair('"', '"'), "ul": Renderer._list, "ol": Renderer._list, "li": Renderer._li, "a": Renderer._a, "img": Renderer._img, "br": Renderer._br,
+        "hr": Renderer._hr, "pre": Renderer._pre, "blockquote": Renderer._blockquote, "table": Renderer._table, "figcaption": Renderer._figcaption,
+    }
+)
+
+
 def _row(cells: list[str]) -> str:
     return "| " + " | ".join(cells) + " |"
 
