@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from quillspan.operators import corpus, crawling
 from quillspan.operators.options import minimal, options
 from quillspan.operators.selectors import selector_column
 from quillspan.operators.splitter import Split
-from quillspan.plans.tables import materialize, shared_dir, table
+from quillspan.plans.tables import materialize, scratch, table
 from quillspan.sources import crawl
 
 QUERIES: dict = {}
@@ -650,7 +648,7 @@ def stream_windows(spark, d):
     """Hourly tumbling windows over the event stream, run to its end."""
     from quillspan.streaming.convert_stream import run_once, windowed_counts
 
-    path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
+    path = scratch(spark, "run")
     table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(f"{path}/in")
     stream = spark.readStream.schema("event_type string, ts timestamp, value double").parquet(f"{path}/in")
     # complete mode: the windows that no watermark has closed come out too
@@ -674,7 +672,7 @@ def stream_markdown(spark, d):
 def _streamed(spark, d):
     from quillspan.streaming.convert_stream import convert_pieces, run_once
 
-    path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
+    path = scratch(spark, "run")
     size = 700
     n = F.greatest(F.lit(1), F.ceil(F.length("html") / size)).cast("int")
     p = pages(spark, d).where("page_id IS NOT NULL AND html IS NOT NULL").select(F.col("page_id").alias("doc_id"), "html", n.alias("n"))

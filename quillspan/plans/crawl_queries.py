@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from quillspan.functions.sites import host_of, registrable_domain, site_of, site
 from quillspan.functions.url_columns import url_path
 from quillspan.operators import corpus, crawling
 from quillspan.plans.golden import literal_table
-from quillspan.plans.tables import materialize, shared_dir, table
+from quillspan.plans.tables import materialize, scratch, table
 from quillspan.sources import crawl
 
 QUERIES: dict = {}
@@ -222,7 +219,7 @@ _FILES = {"index.html": "<title>Home</title><p>a", "docs/one.html": "<p>b", "doc
 
 def _written(spark) -> str:
     """A folder of small files, written by the cluster's file system."""
-    root = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
+    root = scratch(spark, "run")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name, text in _FILES.items():
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
@@ -288,7 +285,7 @@ def streamed_index(spark, d):
     from quillspan.streaming.index_stream import stream_index
 
     p = table(spark, d, "pages").select("page_id", site_of(F.col("origin"), F.col("url")).alias("site"), "url", "title", "description", F.lit("text").alias("content")).where("site IS NOT NULL")
-    root = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
+    root = scratch(spark, "run")
     p.repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     index = stream_index(stream, f"{root}/run", "site", "page_id")

@@ -20,11 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"quillspan-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for a run in the shared folder, deleted at the end of the application."""
+    path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return f"{path}/{label}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -32,9 +41,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     expressions run once, and a lost executor loses nothing.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}/{label}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,5 +68,5 @@ def _drop_written() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            return
+        except Exception:  # the session may be gone; the next folder may belong to another
+            continue
