@@ -3,8 +3,8 @@
 The patterns describe what such lines say (who wrote it and when, how long it takes to read,
 which version it describes, promotions, sharing, rating, newsletters, related pages, tags,
 comments, rights, consent, accounts and search), each as it begins or as a whole. They are
-matched against short lines without heading, list or table marks only, so that sentences
-inside paragraphs are never concerned.
+matched from the beginning of lines without heading, list or table marks, so that sentences
+inside paragraphs are never concerned; a line of any length can be furniture.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from functools import lru_cache
 
 from quillspan.llm.folding import match_form, pattern_form
 
-MAX_CHARS = 260
-
 #: kind -> patterns, matched from the start of a line in lower case with single spaces.
 PATTERNS: dict[str, tuple[str, ...]] = {
     "byline": (
@@ -215,8 +213,6 @@ def normal(line: str) -> str:
 @lru_cache(1 << 14)
 def is_furniture(line: str) -> bool:
     """By its wording; the lines of menus and footers come again on every page of a site."""
-    if len(line) > MAX_CHARS:
-        return False
     s = normal(line)
     if _ANY.match(s):
         return not REMARK.match(s)

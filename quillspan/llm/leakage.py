@@ -14,6 +14,7 @@ Defined results
   reading look-alikes, also those of capitals, as Latin; tags, link targets, character references, emphasis and
   punctuation are no words. Numbers that only number a line ("3. ") may stand between words or not.
 * null or empty texts, and items of fewer than ``MIN_WORDS`` words, match nothing.
+* offsets are of the text as stored, also where line numbers are left out (they are blanked in place).
 * an item that occurs several times in a document is one row, with the longest passage;
   items that share a passage each get a row.
 * a repeated ``doc_id`` or ``item_id`` is one row a pair; extra columns are ignored.
@@ -40,7 +41,7 @@ MAX_BLOCK_CHARS = 20_000_000
 _INLINE = "a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr"
 _INLINE_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|<![A-Za-z][^<>]*>", re.S)
-_TARGET = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
+_TARGET = re.compile(r"\]\([^()\s]*(?:\s+(?:\"[^\"]*\"|'[^']*'))?\)")
 _NO_WORD = re.compile(r"[\W_]+")
 #: Small letters whose capitals alone look Latin, so that a capital reads as its look-alike in either case.
 CAPITALS = {
@@ -78,7 +79,9 @@ def normalised(text: str) -> str:
 
 def _original_spans(text: str, words: list[str]) -> list[tuple[int, int]] | None:
     """Where each word stands in the text as stored; None if the two can't be brought together."""
-    kept = _TARGET.sub(lambda m: "]" + " " * (len(m[0]) - 1), text) if "](" in text else text
+    # what is no word is blanked in place, so that places stay
+    kept = _TAG.sub(lambda m: m[0] if _INLINE_TAG.fullmatch(m[0]) else " " * len(m[0]), text) if "<" in text else text
+    kept = _TARGET.sub(lambda m: "]" + " " * (len(m[0]) - 1), kept) if "](" in kept else kept
     spans = []
     for m in _RAW_WORD.finditer(kept):
         for _ in normalised(m[0]).split():
@@ -105,15 +108,25 @@ def _automaton(items: tuple[tuple[int, tuple[str, ...], str], ...], min_words: i
     return machine if places else None
 
 
-def _passages(norm: str, items, machine, min_words: int) -> dict[int, tuple[int, int, bool]]:
-    """Of each leaked item: the first and the last word (exclusive) of its longest passage, and whether its answer stands in the text."""
-    hits, answers = [], set()
-    for end, (length, where) in machine.iter(norm):
+def _passages(norms: list[str], items, machine, min_words: int) -> list[dict[int, tuple[int, int, bool]]]:
+    """For each form of a text, scanned together: of each leaked item the first and the last word (exclusive) of its
+    longest passage, and whether its answer stands in the text."""
+    hits: list[list[tuple[int, int, int]]] = [[] for _ in norms]
+    answers: list[set[int]] = [set() for _ in norms]
+    k, begins = 0, 0
+    for end, (length, where) in machine.iter("\n".join(norms)):  # no pattern holds a newline
+        while end > begins + len(norms[k]):
+            begins += len(norms[k]) + 1
+            k += 1
         for n, at in where:
             if at < 0:
-                answers.add(n)
+                answers[k].add(n)
             else:
-                hits.append((end - length + 1, n, at))
+                hits[k].append((end - length + 1 - begins, n, at))
+    return [_extended(norm, h, a, items, min_words) for norm, h, a in zip(norms, hits, answers, strict=True)]
+
+
+def _extended(norm: str, hits: list[tuple[int, int, int]], answers: set[int], items, min_words: int) -> dict[int, tuple[int, int, bool]]:
     if not hits:
         return {}
     words = norm.split()
@@ -148,16 +161,19 @@ def _scan(items, min_words: int, id_name: str):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text or machine is None:
                     continue
-                norm = normalised(text)
-                found = _passages(norm, items, machine, min_words)
-                spans = _original_spans(text, norm.split()) if found else None
-                if (bare := _LINE_NUMBER.sub(r"\1", text)) != text:
-                    for n, x in _passages(normalised(bare), items, machine, min_words).items():
-                        if n not in found:
-                            rows.append((doc, items[n][0], x[1] - x[0], None, None, x[2]))
-                for n, (a, c, answer) in found.items():
-                    at = (spans[a][0], spans[c - 1][1]) if spans else (None, None)
-                    rows.append((doc, items[n][0], c - a, *at, answer))
+                forms = [text]
+                # numbers of lines are optional words: the text with blanks in their places goes along in the same scan
+                if (bare := _LINE_NUMBER.sub(lambda m: m[1] + " " * (len(m[0]) - len(m[1])), text)) != text:
+                    forms.append(bare)
+                norms = [normalised(x) for x in forms]
+                best: dict[int, tuple[int, int, int, int, bool]] = {}
+                for k, found in enumerate(_passages(norms, items, machine, min_words)):
+                    spans = _original_spans(forms[k], norms[k].split()) if found else None
+                    for n, (a, c, answer) in found.items():
+                        at = (spans[a][0], spans[c - 1][1]) if spans else (None, None)
+                        if n not in best or c - a > best[n][0]:
+                            best[n] = (c - a, *at, answer or (n in best and best[n][3]))
+                rows += [(doc, items[n][0], *x) for n, x in best.items()]
             names = [id_name, "item_id", "n_words", "start", "stop", "has_answer"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
@@ -186,7 +202,7 @@ def leaked_passages(
 ) -> DataFrame:
     """``(doc_id, item_id, n_words, start, stop, has_answer)``: the longest passage of each leaked item in each document.
 
-    ``start`` and ``stop`` are offsets in ``text`` as stored (null where words were numbered lines),
+    ``start`` and ``stop`` are offsets in ``text`` as stored,
     ``has_answer`` tells whether the item's answer stands in the document too.
     """
     texts = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))

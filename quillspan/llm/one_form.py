@@ -176,6 +176,20 @@ def one_form(pages: DataFrame) -> DataFrame:
     return spread(pages.select("page_id", "title", "html")).mapInArrow(_forms, "page_id bigint, title string, html string")
 
 
+def reading_classes(keys: DataFrame) -> DataFrame:
+    """Every non-empty text once: ``(page_id, field_name, class_id, n_pages, n_texts)``.
+
+    Equal ``class_id`` (the digest of the key): the texts read the same; ``n_pages`` pages hold it, in ``n_texts``
+    different spellings. Nothing is expanded into pairs: the counts combine on the map side, and a class of any size
+    is as many rows as it has pages.
+    """
+    spelled = keys.groupBy("field_name", "key", "raw").agg(F.count_distinct("page_id").alias("n"))
+    classes = spelled.groupBy("field_name", "key").agg(F.sum("n").alias("n_pages"), F.count(F.lit(1)).alias("n_texts"))
+    return keys.where("page_id IS NOT NULL").select("page_id", "field_name", "key").dropDuplicates().join(classes, ["field_name", "key"]).select(
+        "page_id", "field_name", F.col("key").alias("class_id"), "n_pages", "n_texts"
+    )
+
+
 def same_reading_pairs(keys: DataFrame) -> DataFrame:
     """Pairs of pages that read the same but aren't stored the same.
 
@@ -207,5 +221,10 @@ def p2_one_form(spark, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_one_form": p2_one_form}
+def p2_classes(spark, sf_dir: str) -> DataFrame:
+    """Of each title and html the class of texts that read the same."""
+    return reading_classes(materialize(text_keys(table(spark, sf_dir, "pages")), "text_keys"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_one_form": p2_one_form, "p2_classes": p2_classes}
 ORACLE: dict[str, str] = {}

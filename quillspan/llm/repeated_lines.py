@@ -28,6 +28,8 @@ from quillspan.plans.tables import materialize, table
 MIN_LETTERS = 10
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+MIN_CLUSTERS = 3
+MIN_DAYS = 2
 _BLANKS = r"[\s\p{Z}&&[^\n]]+"
 
 
@@ -95,10 +97,14 @@ def repeated_keys(
     counted: DataFrame,
     min_pages: int = MIN_PAGES,
     min_share: float = MIN_SHARE,
-    min_clusters: int = 1,
-    min_days: int = 0,
+    min_clusters: int = MIN_CLUSTERS,
+    min_days: int = MIN_DAYS,
 ) -> DataFrame:
-    """The lines repeated excessively: ``(site, key)`` and the counts."""
+    """The lines repeated excessively: ``(site, key)`` and the counts.
+
+    Besides its pages, a line must stand in ``min_clusters`` different documents, first fetched on ``min_days`` days, so
+    that an article republished on many pages isn't taken for boilerplate.
+    """
     return counted.where(
         (F.col("n_pages") >= min_pages)
         & (F.col("n_pages") / F.col("site_pages") >= min_share)
@@ -155,21 +161,21 @@ def strip_repeated_lines(chunks: DataFrame, pages: DataFrame, **limits: float) -
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return find_repeated(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages")).select(
-        "chunk_id", F.explode("lines").alias("line_no")
-    )
+    # the test tables define this query by pages alone
+    found = find_repeated(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"), min_clusters=1, min_days=0)
+    return found.select("chunk_id", F.explode("lines").alias("line_no"))
 
 
 def p1_stripped(spark, sf_dir: str) -> DataFrame:
-    """Every chunk without the lines of p1_found."""
+    """Every chunk without the lines that its site repeats, in different documents and on several days."""
     out = strip_repeated_lines(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
     return out.select("chunk_id", "page_id", "content", "n_removed")
 
 
 def p1_boilerplate_sites(spark, sf_dir: str) -> DataFrame:
-    """The stricter reading: lines that also stand in 3 different documents and on 2 days; totals of each site."""
+    """The lines that each site repeats: their number, the most pages of one, and their places in different documents."""
     keyed = keyed_chunks(table(spark, sf_dir, "chunks"))
-    hot = repeated_keys(count_lines(keyed, page_sites(table(spark, sf_dir, "pages"))), min_clusters=3, min_days=2)
+    hot = repeated_keys(count_lines(keyed, page_sites(table(spark, sf_dir, "pages"))))
     return hot.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("n_pages").alias("most_pages"), F.sum("n_clusters").alias("clusters")
     )
@@ -193,13 +199,21 @@ hot AS (
   SELECT site, k FROM keyed JOIN per_site USING (site) GROUP BY site, k, n
   HAVING count(DISTINCT page_id) >= {MIN_PAGES} AND count(DISTINCT page_id) / n >= {MIN_SHARE})
 """
+_CLUSTERS = """, page_keys AS (SELECT site, page_id, list_sort(list(DISTINCT k)) AS sig FROM keyed GROUP BY ALL),
+first_day AS (SELECT site, sig, min(CAST(p.fetched_at AS DATE)) AS day FROM page_keys JOIN (SELECT page_id, min(fetched_at) AS fetched_at FROM pages GROUP BY 1) p USING (page_id) GROUP BY ALL),
+spread AS (SELECT site, k, count(*) AS n_clusters, count(DISTINCT day) AS n_days FROM (SELECT site, day, unnest(sig) AS k FROM first_day) GROUP BY ALL),
+kept_hot AS (SELECT site, k FROM hot JOIN spread USING (site, k) WHERE n_clusters >= {clusters} AND n_days >= {days})
+""".format(clusters=MIN_CLUSTERS, days=MIN_DAYS)
 ORACLE = {
     "p1_found": _LINES + "SELECT chunk_id, line_no FROM keyed JOIN hot USING (site, k)",
-    "p1_stripped": _LINES
-    + """, hit AS (SELECT chunk_id, line_no FROM keyed JOIN hot USING (site, k)),
+    "p1_stripped": _LINES + _CLUSTERS
+    + """, hit AS (SELECT chunk_id, line_no FROM keyed JOIN kept_hot USING (site, k)),
 rest AS (
   SELECT chunk_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (hit.line_no IS NULL) AS content, count(hit.line_no) AS n_removed
   FROM line LEFT JOIN hit USING (chunk_id, line_no) GROUP BY 1)
 SELECT chunk_id, page_id, coalesce(rest.content, '') AS content, n_removed::INT AS n_removed
 FROM once JOIN rest USING (chunk_id)""",
+    "p1_boilerplate_sites": _LINES + _CLUSTERS
+    + """SELECT site, count(*) AS n_lines, max(n_pages) AS most_pages, sum(n_clusters)::BIGINT AS clusters
+FROM kept_hot JOIN spread USING (site, k) JOIN (SELECT site, k, count(DISTINCT page_id) AS n_pages FROM keyed GROUP BY ALL) USING (site, k) GROUP BY site""",
 }

@@ -12,8 +12,10 @@ Defined results
 * chunks of unknown pages count under their own origin's site and language ``und``.
 * languages come out as their two-letter code; null, blank and ``und`` are ``und``.
 * extra columns are ignored; empty tables give empty cubes.
-* the vocabulary file is read on the driver and its bytes (under 2 MB, checked) go with the
-  tasks, so executors need no such file.
+* the vocabulary file is read on the driver and its bytes (``MAX_VOCABULARY_BYTES`` at most, checked)
+  go with the tasks, so executors need no such file.
+* a store (``Budget``) is updated by versions: an update that breaks off leaves the version before it,
+  and run again it gives what it would have given.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.sites import host_of, registered_domain, site_of
-from quillspan.plans.tables import materialize, spread, table
+from quillspan.plans.tables import scratch, spread, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 8_000_000
@@ -112,8 +114,11 @@ def page_tokens(chunks: DataFrame, pages: DataFrame, counts: DataFrame, path: st
         F.min("page_id").alias("page_id"), F.min("origin").alias("origin"), F.min(content_hash(F.col("content"))).alias("hash")
     )
     known = counts.where(F.col("tokenizer") == tokenizer_key(path)).select("hash", "n_tokens")
+    # chunks without content meet nothing; each gets a key of its own, so that they don't gather in one task
+    alone = F.unhex(F.md5(F.concat(F.lit("no content of "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("")))))
     return (
-        once.join(known, "hash", "left")
+        once.withColumn("hash", F.coalesce("hash", alone))
+        .join(known, "hash", "left")
         .groupBy("page_id")
         .agg(
             F.min("origin").alias("origin"), F.count(F.lit(1)).alias("n_chunks"),
@@ -160,43 +165,102 @@ def totals(cube: DataFrame) -> DataFrame:
     )
 
 
+class Budget:
+    """A count table, snapshots and cubes kept at a path, and brought up to date by what changed.
+
+    ``counts/`` grows by the contents that were unseen; ``v=N/`` holds the snapshot and the cube of an update and,
+    written last, the mark that it is whole. Counts are of contents, so those of an update that broke off stay right;
+    rows of one hash are the same and are taken once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tokenizer: str = TOKENIZER):
+        self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
+
+    def _folders(self, at: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(at)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+
+    def version(self) -> int:
+        """The last whole version, 0 before the first."""
+        numbers = [int(x[2:]) for x in self._folders(self.path) if x.startswith("v=")]
+        return max((n for n in numbers if "whole" in self._folders(f"{self.path}/v={n}")), default=0)
+
+    def counts(self) -> DataFrame | None:
+        """``(hash, n_tokens, tokenizer)``, each hash once a tokenizer."""
+        if not self._folders(f"{self.path}/counts"):
+            return None
+        rows = self.spark.read.schema(_COUNTS).parquet(f"{self.path}/counts/*")
+        return rows.groupBy("hash", "tokenizer").agg(F.min("n_tokens").alias("n_tokens")).select("hash", "n_tokens", "tokenizer")
+
+    def _read(self, name: str, version: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/v={version}/{name}") if version else None
+
+    def snapshot(self) -> DataFrame | None:
+        return self._read("snapshot", self.version())
+
+    def cube(self) -> DataFrame | None:
+        return self._read("cube", self.version())
+
+    def update(self, chunks: DataFrame, pages: DataFrame) -> int:
+        """Bring the store to the chunks and pages as they are now; the new version."""
+        last = self.version()
+        old, cube = self._read("snapshot", last), self._read("cube", last)
+        at = f"{self.path}/v={last + 1}"
+        encode_unseen(_contents(chunks), self.counts(), self.tokenizer).select("hash", "n_tokens", "tokenizer").write.mode("overwrite").parquet(
+            f"{self.path}/counts/{last + 1}-{tokenizer_key(self.tokenizer)}"
+        )
+        page_tokens(chunks, pages, self.counts(), self.tokenizer).write.mode("overwrite").parquet(f"{at}/snapshot")
+        new = self.spark.read.parquet(f"{at}/snapshot")
+        updated_cube(cube, deltas(old, new)).write.mode("overwrite").parquet(f"{at}/cube")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{at}/whole")
+        return last + 1
+
+
+_COUNTS = "hash binary, n_tokens bigint, tokenizer string"
+
+
+def _scratch(spark, label: str) -> Budget:
+    return Budget(spark, scratch(spark, label))
+
+
 def _contents(chunks: DataFrame) -> DataFrame:
     return chunks.select(content_hash(F.col("content")).alias("hash"), "content")
 
 
-def _snapshot(spark, sf_dir: str) -> DataFrame:
-    chunks, pages = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages")
-    counts = materialize(encode_unseen(_contents(chunks), None), "token_counts")
-    return page_tokens(chunks, pages, counts)
+def _first(spark, sf_dir: str) -> Budget:
+    budget = _scratch(spark, "budget")
+    budget.update(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
+    return budget
 
 
 def p5_totals(spark, sf_dir: str) -> DataFrame:
-    return totals(updated_cube(None, deltas(None, _snapshot(spark, sf_dir))))
+    """The totals of a store that starts from nothing."""
+    return totals(_first(spark, sf_dir).cube())
 
 
 def p5_page_tokens(spark, sf_dir: str) -> DataFrame:
     """The estimated tokens of each page."""
-    return _snapshot(spark, sf_dir)
+    return _first(spark, sf_dir).snapshot()
 
 
 def p5_incremental(spark, sf_dir: str) -> DataFrame:
-    """The totals after an update: first the pages fetched by the middle day, then all but the oldest day's.
+    """The totals of a store after an update: first the pages fetched by the middle day, then all but the oldest day's.
 
     The second load encodes only contents the first didn't hold, and subtracts the pages removed.
     """
     chunks, pages = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages")
     day = F.to_date("fetched_at")
     low, middle = pages.agg(F.min(day), F.percentile_approx(F.unix_date(day), 0.5)).first()
-    if low is None:
-        return p5_totals(spark, sf_dir)
-    first = pages.where(F.unix_date(day) <= middle)
-    second = pages.where((day > F.lit(low)) | day.isNull())
-    own = lambda p: chunks.join(p.select("page_id"), "page_id", "left_semi")
-    counts = materialize(encode_unseen(_contents(own(first)), None), "counts_first")
-    old = materialize(page_tokens(own(first), first, counts), "snapshot_first")
-    cube = updated_cube(None, deltas(None, old))
-    counts = counts.union(materialize(encode_unseen(_contents(own(second)), counts), "counts_more").select(counts.columns))
-    return totals(updated_cube(cube, deltas(old, page_tokens(own(second), second, counts))))
+    budget = _scratch(spark, "budget")
+    if low is not None:
+        first = pages.where(F.unix_date(day) <= middle)
+        budget.update(chunks.join(first.select("page_id"), "page_id", "left_semi"), first)
+        pages = pages.where((day > F.lit(low)) | day.isNull())
+        chunks = chunks.join(pages.select("page_id"), "page_id", "left_semi")
+    budget.update(chunks, pages)
+    return totals(budget.cube())
 
 
 QUERIES = {"p5_totals": p5_totals, "p5_page_tokens": p5_page_tokens, "p5_incremental": p5_incremental}

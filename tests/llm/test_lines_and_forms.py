@@ -29,9 +29,9 @@ def test_repeated_lines(spark):
     chunks.append(chunks[0])
     chunks += [(160, None, None, 0, legal, 1), (161, 3, None, 1, None, 1), (162, 3, None, 1, "", 1), (163, 999, None, 0, legal, 1)]
     c, p = spark.createDataFrame(chunks, CHUNKS), _pages(spark, pages)
-    found = {(r.chunk_id, tuple(r.lines)) for r in repeated_lines.find_repeated(c, p).collect()}
+    found = {(r.chunk_id, tuple(r.lines)) for r in repeated_lines.find_repeated(c, p, min_days=1).collect()}
     assert found == {(100 + i, (3,)) for i in range(10)}
-    out = {r.chunk_id: r for r in repeated_lines.strip_repeated_lines(c, p).collect()}
+    out = {r.chunk_id: r for r in repeated_lines.strip_repeated_lines(c, p, min_days=1).collect()}
     assert len(out) == 15 and out[100].content == "own line number  here\n\nshort 1" and out[100].n_removed_ == 1 and out[100].n_removed == 5
     assert out[150].content == legal and out[161].content is None and out[162].content == ""
     assert repeated_lines.find_repeated(c.limit(0), p).count() == 0
@@ -44,8 +44,28 @@ def test_copies_are_one_cluster(spark):
     chunks = [(i, i, None, 0, "a republished article line" if i < 5 else "something else entirely", 0) for i in range(6)]
     keyed = repeated_lines.keyed_chunks(spark.createDataFrame(chunks, CHUNKS))
     counted = repeated_lines.count_lines(keyed, repeated_lines.page_sites(_pages(spark, pages)))
-    assert repeated_lines.repeated_keys(counted).count() == 1
-    assert repeated_lines.repeated_keys(counted, min_clusters=3).count() == 0
+    assert repeated_lines.repeated_keys(counted, min_clusters=1, min_days=0).count() == 1
+    assert repeated_lines.repeated_keys(counted, min_clusters=3, min_days=1).count() == 0
+
+
+def test_republished_article_stays(spark):
+    """By default a line must stand in three different documents and on two days: an article under eight addresses stays whole."""
+    article = "The whole story of the mill\nIt stood by the river for years\nThen the water rose"
+    legal = "Reuse of these pages only with our permission"
+    pages, chunks = [], []
+    for i in range(12):
+        day = dt.datetime(2025, 1, 1 + i % 4)
+        pages.append((i, f"https://c.example/{i}", "https://c.example", None, None, day, 0))
+        text = article if i < 8 else f"Notes on item {'abcdefgh'[i - 8]} of the long list\n{legal}"
+        chunks.append((i, i, None, 0, text, 0))
+    for i in range(12, 16):  # few documents, but different ones on several days
+        pages.append((i, f"https://c.example/{i}", "https://c.example", None, None, dt.datetime(2025, 2, i), 0))
+        chunks.append((i, i, None, 0, f"Another page about topic {'ijkl'[i - 12]}\n{legal}", 0))
+    c, p = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(pages, PAGES)
+    kept = {r.chunk_id: r.content for r in repeated_lines.strip_repeated_lines(c, p).collect()}
+    assert all(kept[i] == article for i in range(8)) and all(legal not in kept[i] for i in range(8, 16))
+    by_pages = {r.chunk_id for r in repeated_lines.find_repeated(c, p, min_clusters=1, min_days=0).collect()}
+    assert by_pages == set(range(16))
 
 
 SAME = [
@@ -98,3 +118,12 @@ def test_letters_that_compose_alone():
     pairs = [("\u212a", "K"), ("\u212bngström", "Ångström"), ("5 \u2126", "5 \u03a9"), ("\u1f71", "\u03ac"), ("\uf900", "\u8c48"), ("\u0132sland \u0133s", "IJsland ijs"), ("\u0149", "\u02bcn")]
     assert _keys([a for a, _ in pairs]) == _keys([b for _, b in pairs])
     assert _keys([folding.fold(a) for a, _ in pairs]) == _keys([a for a, _ in pairs])
+
+
+def test_reading_classes(spark):
+    rows = [(1, "Full width", ""), (2, "Ｆｕｌｌ width", None), (3, "Full width", " "), (3, "Full width", " "), (4, None, "<p>a"), (5, "other", "<p>a")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, title string, html string, key string")
+    got = {(r.page_id, r.field_name): (r.class_id, r.n_pages, r.n_texts) for r in one_form.reading_classes(one_form.text_keys(df)).collect()}
+    own = got[1, "title"]
+    assert own[1:] == (3, 2) and got[2, "title"] == got[3, "title"] == own and got[5, "title"][1:] == (1, 1) and got[4, "html"] == got[5, "html"]
+    assert len(got) == 6 and one_form.reading_classes(one_form.text_keys(df.limit(0))).count() == 0

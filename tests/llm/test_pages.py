@@ -121,7 +121,7 @@ def test_sentences_of_templates_and_names(spark):
     """A page made of sentences of whole-page templates, and one name that stands in several templates."""
     a, b = "<p>The lights are out in this house tonight.</p>", "<p>Knock twice and leave a note.</p>"
     rows = [(i, f"Title {i}", a) for i in range(3)] + [(10 + i, f"Name {i}", b) for i in range(3)]
-    rows += [(20, "Both", a + b), (21, "Own", f"<p>Knock twice and leave a note.</p><p>{PROSE}</p>")]
+    rows += [(20, "Both", f"<div>{a}{b}</div>"), (21, "Own", f"<p>Knock twice and leave a note.</p><p>{PROSE}</p>")]
     rows += [(30, "{{ owner.name }}", f"<p>{PROSE}</p>"), (31, "Contact", f"<p>{PROSE} Write to {{{{owner.name}}}} today.</p>"), (32, "a plain {{ once }} thing", f"<p>{PROSE} More.</p>")]
     got = {r.page_id: r.reason for r in residue.residue_pages(_pages(spark, rows)).collect()}
     want = {20: "sentence", 30: "slot", 31: "slot", 32: "syntax"}

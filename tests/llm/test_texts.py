@@ -59,6 +59,23 @@ def test_leakage_look_alikes_of_capitals():
     assert leakage.normalised("\u0412\u0422\u041e\u0420\u0410\u042f \u041a\u041d\u0418\u0413\u0410") == leakage.normalised("\u0432\u0442\u043e\u0440\u0430\u044f \u043a\u043d\u0438\u0433\u0430")
 
 
+def test_leakage_offsets(spark):
+    """Offsets are of the stored text past tags, link targets and line numbers, and the longer of two readings holds."""
+    own = "the keeper of the mill painted twelve valves green and by winter owed it coins"
+    w = own.split()
+    docs = [
+        (0, f"intro <div class='a b'>x</div> {' '.join(w[:6])} <b>{w[6]}</b> [{' '.join(w[7:9])}](/t 'u') {' '.join(w[9:])} end"),
+        (1, "1. " + f"\n2. ".join([" ".join(w[:5]), " ".join(w[5:9]), " ".join(w[9:])])), (2, f"{own} 7"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(1, own, "coins")], "item_id long, text string, answer string")
+    got = {r.doc_id: r for r in leakage.leaked_passages(d, it).collect()}
+    assert all(r.n_words == len(w) for r in got.values()) and len(got) == 3
+    for k, text in docs:
+        part = text[got[k].start : got[k].stop]
+        assert part.startswith("the keeper") and part.endswith("coins") and got[k].has_answer
+
+
 def _tables(spark):
     pages = spark.createDataFrame(
         [(1, "https://a.x.example/1", "https://A.x.example/", "EN"), (2, "https://b.x.example/2", None, "deutsch"), (3, "https://c.test/3", "https://c.test", None)],
@@ -93,6 +110,22 @@ def test_token_totals_and_deltas(spark):
     assert tokens.totals(tokens.updated_cube(None, tokens.deltas(None, tokens.page_tokens(chunks.limit(0), pages, counts)))).count() == 0
 
 
+def test_budget_is_kept_at_a_path(spark, tmp_path):
+    chunks, pages = _tables(spark)
+    budget = tokens.Budget(spark, f"file://{tmp_path}/budget")
+    assert budget.version() == 0 and budget.counts() is None and budget.cube() is None
+    assert budget.update(chunks, pages) == 1 and budget.counts().count() == 3
+    later = chunks.where("page_id <> 2").withColumn("content", F.when(F.col("chunk_id") == 2, "new text").otherwise(F.col("content")))
+    spark.range(1).write.parquet(f"file://{tmp_path}/budget/v=2/cube")  # an update that broke off
+    again = tokens.Budget(spark, f"file://{tmp_path}/budget")
+    assert again.version() == 1 and again.update(later, pages) == 2 and again.counts().count() == 4
+    fresh = tokens.Budget(spark, f"file://{tmp_path}/fresh")
+    fresh.update(later, pages)
+    cells = lambda b: sorted(map(tuple, b.cube().collect()))
+    assert cells(again) == cells(fresh)
+    assert again.update(chunks.limit(0), pages) == 3 and again.cube().count() == 0 and again.snapshot().count() == 0
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(1)
     docs = [(i, ["big", "mid", "tiny", "unlisted", None][i % 5 if i % 7 else 0], "word " * int(rng.integers(1, 30))) for i in range(600)]
@@ -106,7 +139,7 @@ def test_mixture(spark):
     assert report["absent"].tokens == 0 and report["none"].tokens == 0
     rows = [tuple(r) for r in taken.collect()]
     assert rows and len({(r[0], r[2]) for r in rows}) == len(rows)
-    for total in (None, 3000, 10**9):
+    for total in (None, "all", 3000, 10**9):
         taken, plan = mixture.mix(d, t, total)
         rows = taken.collect()
         budget = plan.first().budget
@@ -126,7 +159,17 @@ def test_mixture(spark):
     for r in got:
         sums[r.source] = sums.get(r.source, 0) + r.n_tokens
         assert abs(r.finish - sums[r.source] / weight[r.source]) < 1e-6 * r.finish + 1e-6
+    # its order: the places are the running sums of the queue
+    at = 0
+    for r in sorted(got, key=lambda r: (r.finish, r.source, r.doc_id, r.copy)):
+        at += r.n_tokens
+        assert r["at"] == at
     assert mixture.mix(d.limit(0), t)[0].count() == 0
+    # the default budget keeps within the tolerance, a larger one doesn't
+    taken, plan = mixture.mix(d, t, tolerance=0.05)
+    said = mixture.shares(taken, plan).collect()
+    assert sum(abs(r.actual_share - r.reachable_share) for r in said) / 2 < 0.05 + 0.02
+    assert plan.first().budget < mixture.mix(d, t, "all")[1].first().budget
 
 
 def test_statistics_and_rules(spark):
