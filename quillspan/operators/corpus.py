@@ -93,14 +93,16 @@ def strip_chrome(docs: DataFrame, group: str, doc: str, text: str, threshold: fl
             sizes = np.fromiter((len(x) for x in made), np.int64, len(made))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
             flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], [group, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["__group", "keys"])
 
-    held = materialize(spread(own.select(group, "text")).mapInArrow(keys, f"`{group}` {kinds[group]}, keys array<bigint>"), "shingles")
-    n = held.where(F.size("keys") > 0).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = held.select(group, F.explode("keys").alias("key")).groupBy(group, "key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # groups go by a hash too: a row of the count is 16 bytes and a number
+    own = own.withColumn("__group", F.xxhash64(group))
+    held = materialize(spread(own.select("__group", "text")).mapInArrow(keys, "__group bigint, keys array<bigint>"), "shingles")
+    n = held.where(F.size("keys") > 0).groupBy("__group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
+    df = held.select("__group", F.explode("keys").alias("key")).groupBy("__group", "key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     enough = F.greatest(F.lit(2), F.ceil(F.lit(threshold) * F.col("n")))
-    chrome = df.join(n, group).where((F.col("n") >= MIN_DOCS) & (F.col("df") >= enough)).groupBy(group).agg(F.collect_list("key").alias("chrome"))
-    joined = own.join(materialize(chrome, "chrome"), group, "left").select(group, doc, "text", "chrome")
+    chrome = df.join(n, "__group").where(F.col("df") >= enough).groupBy("__group").agg(F.collect_list("key").alias("chrome"))
+    joined = own.join(materialize(chrome, "chrome"), "__group", "left").select(group, doc, "text", "chrome")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.convert import convert
+from quillspan.functions.fetching import media_type
 from quillspan.functions.sites import host_of, registrable_domain
 from quillspan.functions.url_columns import normalize_url, pattern_of, resolve, url_path
 from quillspan.operators.corpus import excluded, glob_regex
@@ -152,7 +153,7 @@ def site_names(pages: DataFrame, given: DataFrame) -> DataFrame:
 
 def passed_through(pages: DataFrame, content_type: str, body: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``markdown``: documents served as Markdown as they are, html converted, anything else left out."""
-    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    kind = media_type(F.col(content_type))
     ready = pages.where(kind == "text/markdown").select(*keep, F.col(body).alias("markdown"))
     html = pages.where(kind.isin("text/html", "application/xhtml+xml"))
     return ready.union(convert(html, keep, body).select(*keep, "markdown"))

@@ -9,6 +9,7 @@ from quillspan.operators.dom import Node, prune
 from quillspan.operators.options import Options
 from quillspan.operators.selectors import matcher
 
+_SPACE = re.compile(r"[ \t\n\f\r]+")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s?:\s?none|visibility\s?:\s?hidden|position\s?:\s?(?:absolute|fixed))", re.I)
 #: The meta names that frontmatter takes by default.
 META_FIELDS = ("description", "keywords", "author", "date", "og:title", "og:description", "twitter:title", "twitter:description")
@@ -124,7 +125,7 @@ def head_metadata(root: Node, more: tuple[str, ...] = (), given: dict[str, str]
     head = root.first("head")
     out: dict[str, str] = {k: v for k, v in (given or {}).items() if k not in ("title", "description")}
     for n in (head or root).walk():
-        if n.tag == "title" and "title" not in out and (t := " ".join(n.text().split())):
+        if n.tag == "title" and "title" not in out and (t := _SPACE.sub(" ", n.text()).strip(" ")):
             out["title"] = t
         elif n.tag == "meta" and head is not None:
             name = n.attrs.get("name") or n.attrs.get("property") or ""

@@ -519,8 +519,9 @@ chrome AS (SELECT site, shingle, count(DISTINCT page_id) AS df FROM sh JOIN n US
 
 def _page_texts(spark, d):
     sites = pages(spark, d).groupBy("page_id").agg(F.min(site_of(F.col("origin"), F.col("url"))).alias("site")).where("site IS NOT NULL")
-    c = table(spark, d, "chunks").select("page_id", "chunk_no", "content").distinct()
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda x: x["content"]), "\n")
+    c = table(spark, d, "chunks").select("page_id", "chunk_no", "content")
+    # a chunk that arrived twice is one element of the set
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("chunk_no", "content"))), lambda x: x["content"]), "\n")
     return c.groupBy("page_id").agg(text.alias("text")).join(sites, "page_id").select("site", "page_id", "text")
 
 
@@ -543,7 +544,7 @@ def chrome_shingles(spark, d):
 )
 def chrome_stripped(spark, d):
     """Each page's text without the word runs that its site repeats."""
-    out = corpus.strip_chrome(_page_texts(spark, d), "site", "page_id", "text")
+    out = corpus.strip_chrome(materialize(_page_texts(spark, d), "page_texts"), "site", "page_id", "text")
     return out.select("page_id", F.md5("text").alias("digest"), "n_tokens", "n_kept")
 
 

@@ -308,3 +308,101 @@ def command_line(spark, d):
         main(argv, io.BytesIO(given.encode()), out)
         made.append((n, out.getvalue()))
     return _given(spark, made, "n int, result string")
+
+
+_RESPONSES = [
+    (0, 200, 0, None, "text/html; charset=x", None, True), (1, 429, 0, "7", "text/html", 7.0, True), (2, 429, 1, "Wed, 01 Jan 2025 00:00:30 GMT", None, 30.0, False),
+    (3, 429, 1, "soon", "text/markdown", 2.0, True), (4, 503, 1, None, "image/png", 2.0, False), (5, 503, 2, None, "Text/HTML", None, True), (6, None, 0, None, None, 1.0, False), (7, 404, 0, None, "application/xhtml+xml", None, True),
+]
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"({n}, {'NULL' if w is None else w}::DOUBLE, {str(a).lower()})" for n, *_, w, a in _RESPONSES) + ") AS t(n, wait, accepted)"
+)
+def fetch_decisions(spark, d):
+    """What is fetched again and when, and what is taken in."""
+    from quillspan.functions.fetching import is_accepted, next_try
+
+    r = _given(spark, [x[:5] for x in _RESPONSES], "n int, status int, attempt int, retry_field string, content_type string")
+    now = F.to_timestamp(F.lit("2025-01-01 00:00:00"))
+    return r.select("n", next_try(F.col("status"), F.col("attempt"), F.col("retry_field"), now).alias("wait"), is_accepted(F.col("content_type")).alias("accepted"))
+
+
+_VARY = [(0, None, "Accept"), (1, "Accept-Encoding", "Accept-Encoding, Accept"), (2, "accept, Cookie", "accept, Cookie"), (3, "*", "*"), (4, "", "Accept")]
+
+
+@query(literal_table([(n, want) for n, _, want in _VARY], "n, vary"))
+def vary_header(spark, d):
+    """The Vary field with Accept in it, once in any case."""
+    from quillspan.functions.negotiation import merged_vary
+
+    return _given(spark, [x[:2] for x in _VARY], "n int, given string").select("n", merged_vary(F.col("given"), ["Accept"]).alias("vary"))
+
+
+_STARTS = [(0, "https://e.example/docs/a*", "https://e.example/docs/"), (1, "https://e.example/**", "https://e.example/"), (2, "https://e.example/x", "https://e.example/x"), (3, "e.example/docs/v?/x", "https://e.example/docs/")]
+
+
+@query(literal_table([(n, want) for n, _, want in _STARTS], "n, start"))
+def pattern_starts(spark, d):
+    """Where a crawl of a url pattern begins."""
+    from quillspan.functions.url_columns import starting_url
+
+    return _given(spark, [x[:2] for x in _STARTS], "n int, p string").select("n", starting_url(F.col("p")).alias("start"))
+
+
+# what holds of every page -----------------------------------------------------------------------
+
+_BODY = "regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|title)\\b.*?</\\1>', '', 'g'), '(?s)<!--.*?-->', '', 'g')".replace("</\\1>", "</(script|style|noscript|title)>")
+
+
+@query(f"SELECT page_id, len(regexp_extract_all({_BODY}, '<h2>')) AS n_h2, len(regexp_extract_all({_BODY}, '<li>')) AS n_items FROM pages WHERE html IS NOT NULL")
+def markdown_structure(spark, d):
+    """Headings and items of every page's Markdown, outside code, are those of its html; in table cells they stay tags."""
+    md = convert(table(spark, d, "pages").where("html IS NOT NULL"), ["page_id"])
+    md = md.withColumn("o", F.regexp_replace("markdown", r"(?ms)^([ >]*)(`{3,})[^\n]*\n.*?^\1\2[ ]*$", ""))
+    count = lambda p: F.regexp_count("o", F.lit(p)).cast("bigint")
+    return md.select("page_id", count(r"(?m)^[ >]*(?:- )?## |(?<!\\)<h2>").alias("n_h2"), count(r"(?m)^[ >]*(?:- |\d+\. |-$)|(?<!\\)<li>").alias("n_items"))
+
+
+_LETTERS = "regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[^A-Za-z0-9]+', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_LETTERS.format(_BODY)}) AS digest FROM pages WHERE html IS NOT NULL AND NOT contains(html, '&') AND NOT contains(html, '<img')")
+def text_letters(spark, d):
+    """Without references and images, a page's text has the letters and digits of its html."""
+    p = table(spark, d, "pages").where("html IS NOT NULL").where(~F.col("html").contains("&") & ~F.col("html").contains("<img"))
+    return convert(p, ["page_id"], outputs=("text",)).select("page_id", F.md5(F.regexp_replace("text", "[^A-Za-z0-9]+", "")).alias("digest"))
+
+
+@query(f"SELECT page_id, md5({_LETTERS.format(_BODY)}) AS digest FROM pages WHERE html IS NOT NULL AND NOT contains(html, '&')")
+def safe_html_letters(spark, d):
+    """Safe html keeps the letters and digits and no script, style or handler."""
+    p = table(spark, d, "pages").where("html IS NOT NULL").where(~F.col("html").contains("&"))
+    out = convert(p, ["page_id"], outputs=("safe_html",)).where(~F.lower("safe_html").rlike(r"<script|<style|<[^>]* on[a-z]+="))
+    return out.select("page_id", F.md5(F.regexp_replace(F.regexp_replace("safe_html", "<[^>]*>", ""), "[^A-Za-z0-9]+", "")).alias("digest"))
+
+
+@query(
+    f"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description
+    FROM pages WHERE html IS NOT NULL AND NOT contains(html, '&')"""
+)
+def page_head(spark, d):
+    """Title and description in the head of every page without references."""
+    p = table(spark, d, "pages").where("html IS NOT NULL").where(~F.col("html").contains("&"))
+    out = convert(p, ["page_id"], outputs=("metadata",))
+    get = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    return out.select("page_id", get("title").alias("title"), get("description").alias("description"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '---') AND trim(text, ' \t\n\r') <> '' AND NOT regexp_matches(text, '(?m)^ *(\\* ?){3,}$|^ *(- ?){3,}$|^_{3,}$')".replace("\\\\", "\\"))
+def chunks_rejoined(spark, d):
+    """Chunks of a document, without overlap and with their headings, hold all its letters and digits in order."""
+    from quillspan.functions.convert import split_texts
+    from quillspan.operators.splitter import Split
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL").where(~F.col("text").startswith("---"))
+    docs = docs.where(F.trim(F.translate("text", "\t\n\r", "   ")) != "").where(~F.col("text").rlike(r"(?m)^ *(\* ?){3,}$|^ *(- ?){3,}$|^_{3,}$"))
+    out = split_texts(docs, ["doc_id"], "text", Split(size=300, overlap=0, strip_headers=False))
+    own = F.array_sort(F.collect_list(F.struct("chunk_no", "content")))
+    whole = F.array_join(F.transform(own, lambda x: x["content"]), "")
+    return out.groupBy("doc_id").agg(F.md5(F.regexp_replace(whole, "[^A-Za-z0-9]+", "")).alias("digest"))

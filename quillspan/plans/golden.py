@@ -5,13 +5,20 @@ Each operator is a query over its inputs; the SQL that checks it is the literal
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.convert import convert, html_events, split_texts
+from quillspan.operators.dom import Node
+from quillspan.operators.incremental import Converter
+from quillspan.operators.markdown import plain_heading
 from quillspan.operators.options import Options, Override, minimal, options
+from quillspan.operators.plain import wrap_text
+from quillspan.operators.prepare import Plugin
+from quillspan.operators.selectors import matcher
 from quillspan.operators.splitter import Split
 
 QUERIES: dict[str, Callable] = {}
@@ -259,3 +266,125 @@ def split_k13_validation(spark, d) -> DataFrame:
 
 QUERIES["split_k13_validation"] = split_k13_validation
 ORACLE["split_k13_validation"] = "SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, true), (4, false), (5, false), (6, false)) AS t(n, taken)"
+
+
+# hooks, extraction, limits -----------------------------------------------------------------------
+
+
+class _Marks(Plugin):
+    """Skips ``aside``, names links, brackets notes, and shouts in strong text."""
+
+    def process_attributes(self, n: Node) -> None:
+        if n.tag == "a":
+            n.attrs.setdefault("title", "link")
+
+    def skip(self, n: Node) -> bool:
+        return n.tag == "aside"
+
+    def enter(self, n: Node) -> str | None:
+        return "[" if n.tag == "p" and n.attrs.get("class") == "note" else None
+
+    def exit(self, n: Node) -> str | None:
+        return "]" if n.tag == "p" and n.attrs.get("class") == "note" else None
+
+    def text(self, s: str, parent: Node) -> str | None:
+        return s.upper() if parent.tag == "b" else None if parent.tag == "small" else s
+
+    def end(self, root: Node) -> None:
+        last = Node("p", {}, root)
+        last.kids.append("end")
+        root.kids.append(last)
+
+
+golden("hooks_q11", [("<p class=note>a <b>b</b></p><aside>x</aside><small>gone</small><a href=/x>c</a>", '[a **B**]\n\n[c](/x "link")\n\nend')], hooks=(_Marks(),))
+golden("limit_q13_max_text", [("<p>one</p><p>two</p>", "one"), ("<p>a</p>", "a")], o=options(max_text=12))
+
+
+def _kernel_rows(name: str, rows: list[tuple], columns: str, schema: str, make: Callable[[], list[tuple]]) -> None:
+    """A query whose rows a function of the kernel makes; its SQL is the literal table."""
+    QUERIES[name] = lambda spark, d: spark.createDataFrame(make(), schema)
+    ORACLE[name] = literal_table(rows, columns)
+
+
+def extract_q09(spark, d) -> DataFrame:
+    """Every element of every selector, in the order of their ends."""
+    df = spark.createDataFrame([(0, "<div class='a b'><p id=x>one <b>two</b></p></div><p>three")], "n int, html string")
+    out = convert(df, ["n"], outputs=("extracted",), selectors=("p", ".b, b", "[id=x]")).select("n", F.posexplode("extracted").alias("k", "e"))
+    return out.select("n", "k", "e.selector", "e.tag", "e.text")
+
+
+QUERIES["extract_q09"] = extract_q09
+ORACLE["extract_q09"] = literal_table(
+    [(0, 0, ".b, b", "b", "two"), (0, 1, "p", "p", "one two"), (0, 2, "[id=x]", "p", "one two"), (0, 3, ".b, b", "div", "one two"), (0, 4, "p", "p", "three")], "n, k, selector, tag, text"
+)
+_kernel_rows(
+    "text_u08_plain_headings", [(0, "bold and code"), (1, "a link"), (2, "a * b"), (3, "x y")], "n, result", "n int, result string",
+    lambda: [(n, plain_heading(x)) for n, x in enumerate(["**bold** and `code`", "a [link](/x)", "a \\* b", "x<sub></sub> ~~y~~"])],
+)
+_kernel_rows(
+    "text_t11_wrap", [(0, "aaa bbb\nccc"), (1, "abcdefghijk\nx"), (2, "a\n\nb")], "n, result", "n int, result string",
+    lambda: [(n, wrap_text(x, 7)) for n, x in enumerate(["aaa bbb ccc", "abcdefghijk x", "a\n\nb"])],
+)
+_kernel_rows(
+    "select_q01", [(0, 1), (1, 1), (2, 0), (3, 1), (4, 1), (5, 0), (6, 1), (7, 1), (8, 0)], "n, hit", "n int, hit int",
+    lambda: [
+        (n, int(matcher((s,))(Node("a", {"class": "x y", "id": "i", "href": "/docs/a.html", "lang": "en-US", "rel": "no follow"}, None))))
+        for n, s in enumerate(["a.x#i", "[href^='/docs']", "[href$=pdf]", "[rel~=follow]", "[lang|=en]", "b, .z", "b, .y", "[href*=cs]", "a[title]"])
+    ],
+)
+
+# streams ------------------------------------------------------------------------------------------------
+
+
+def _pieces(html: str | bytes, size: int, output: str = "markdown", o: Options = Options()) -> list[str]:
+    c = Converter(output, o)
+    return [*(c.process(html[i : i + size]) for i in range(0, len(html), size)), c.finish()]
+
+
+_kernel_rows(
+    "stream_w01_deltas", [(0, "one"), (1, ""), (2, "\n\ntwo"), (3, "\n\n- a"), (4, "\n- b"), (5, "")], "n, result", "n int, result string",
+    lambda: list(enumerate((lambda c: [*map(c.process, ["<p>one</p><p>", "two", "</p><ul><li>", "a<li>b", "</ul>"]), c.finish()])(Converter()))),
+)
+_kernel_rows(
+    "stream_w02_residue", [(n, "a **b** [c](/d)") for n in range(4)], "n, result", "n int, result string",
+    lambda: [(n, "".join(_pieces("<p>a <b>b</b> <a href='/d'>c</a><!-- x > y --><scr" + "ipt>z</script>", size))) for n, size in enumerate((1, 2, 5, 100))],
+)
+_kernel_rows(
+    "stream_w03_characters", [(0, "é😀あ"), (1, "é😀あ"), (2, "a�")], "n, result", "n int, result string",
+    lambda: [(0, "".join(_pieces("é😀あ".encode(), 1))), (1, "".join(_pieces("é😀あ", 1))), (2, "".join(_pieces("a\ud83d", 1)))],
+)
+_kernel_rows(
+    "stream_w04_held", [(0, ""), (1, ""), (2, "x"), (3, ""), (4, " **y**"), (5, "")], "n, result", "n int, result string",
+    lambda: list(enumerate((lambda c: [*map(c.process, ["<p>", "x ", "<b>", "y", "</b> "]), c.finish()])(Converter()))),
+)
+_kernel_rows(
+    "stream_w06_barrier", [(0, ""), (1, ""), (2, "[a](#t) b\n\n## T")], "n, result", "n int, result string",
+    lambda: list(enumerate(_pieces("<a href=#t>a</a> <a href=#u>b</a><h2>T</h2>", 30, o=options(clean=frozenset({"fragments"}))))),
+)
+_kernel_rows(
+    "stream_w07_discarded", [(0, 1), (1, 1)], "n, small", "n int, small int",
+    lambda: [(n, int(_state_size(x) < 3000)) for n, x in enumerate(["<script>" + "var x;" * 20_000, "a<!--" + " comment" * 20_000])],
+)
+_kernel_rows(
+    "stream_w08_callbacks", [(0, "title=T b=x,y")], "n, result", "n int, result string", lambda: [(0, _called())],
+)
+_kernel_rows(
+    "stream_w09_formats", [(0, "a\nb\n\nc"), (1, "<p>a <strong>b</strong></p>")], "n, result", "n int, result string",
+    lambda: [(0, "".join(_pieces("<p>a<br>b</p><p>c", 3, "text"))), (1, "".join(_pieces("<p>a <b>b</b></p>", 2, "safe_html")))],
+)
+
+
+def _state_size(html: str) -> int:
+    c = Converter()
+    for i in range(0, len(html), 500):
+        c.process(html[i : i + 500])
+    return len(pickle.dumps(c))
+
+
+def _called() -> str:
+    said: list[str] = []
+    c = Converter(selectors=("b",), on_end=lambda meta, found: said.append(f"title={meta['title']} b={','.join(x[2] for x in found)}"))
+    c.process("<head><title>T</title></head><b>x</b>")
+    c.process("<b>y</b>")
+    c.finish()
+    return " ".join(said)
