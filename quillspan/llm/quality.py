@@ -182,7 +182,44 @@ def p8_by_source(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_stats": p8_stats, "p8_by_source": p8_by_source}
-ORACLE: dict[str, str] = {}
+
+
+def _statistics_sql() -> str:
+    """The statistics in DuckDB's SQL, from their definitions."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def kept(drop: str) -> str:
+        return f"length(regexp_replace(t, {quoted(drop)}, '', 'g'))"
+
+    def count(pattern: str) -> str:
+        return f"len(regexp_extract_all(t, {quoted(pattern)}))"
+
+    def share(a: str, b: str) -> str:
+        return f"CASE WHEN {b} > 0 THEN round({a} / {b}, 6) ELSE 0.0 END"
+
+    return f"""WITH common AS (SELECT list(DISTINCT lower(word)) AS cw FROM common_words WHERE word IS NOT NULL AND lang <> 'ja'),
+plain AS (SELECT doc_id, source, regexp_replace(translate(coalesce(text, ''), {quoted(_WIDE)}, {quoted(_NARROW)}), {quoted(_HIDDEN)}, '', 'g') AS x FROM documents),
+shown AS (SELECT doc_id, source, regexp_replace(x, '\\]\\([^()\\s]*\\)', ']', 'g') AS t FROM plain),
+split AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{M}}]+'), lambda w: w <> '') AS w FROM shown),
+counted AS (SELECT doc_id, source, len(w) AS words, coalesce(length(array_to_string(w, '')), 0) AS letters, {kept(r"[\s\p{Z}]+")} AS visible, {kept(r"[\p{L}\p{M}\p{N}\s\p{Z}]+")} AS symbols,
+  {kept(r"[^0-9]+")} AS digits, {count(r"(?m)^[^\n]*[^\s]")} AS lines, {count(rf"(?m){_END}[ \t\r]*$")} AS ends,
+  {count(r"(?m)^[ \t]*(?:[-*+•–][ \t]|[0-9]+(?:\.[0-9]+)*[.)]?[ \t]|\[[^\]\n]*\][ \t]*$|\||```)")} AS marks, len(list_filter(w, lambda x: list_contains(cw, x))) AS common,
+  {kept(r"[^ぁ-ゖ]+")} AS kana, {count(r"\t|;| [/|·•] ")} AS separators, {kept(r"[^,]+")} AS commas FROM split, common),
+stats AS (SELECT doc_id, source, visible::INT AS visible, words::INT AS words, {share("letters", "words")} AS mean_word_length, {share("symbols", "visible")} AS symbol_share, {share("digits", "visible")} AS digit_share,
+  {share("ends", "lines")} AS punct_line_share, {share("common", "words")} AS common_share, {share("marks", "lines")} AS marked_line_share, {share("words", "lines")} AS words_per_line,
+  {share("kana", "visible")} AS kana_share, {share("separators", "words")} AS separators_per_word, {share("commas", "words")} AS commas_per_word FROM counted)
+"""
+
+
+_STATS = _statistics_sql()
+_RULE = re.sub(r"(?<=\d)D\b", "", case_sql(RULES))
+ORACLE = {
+    "p8_stats": _STATS + f"SELECT doc_id, visible, {', '.join(FEATURES)} FROM stats",
+    "p8_found": _STATS + f"SELECT DISTINCT doc_id FROM stats WHERE {_RULE} > 0",
+    "p8_by_source": _STATS + f"SELECT source, count(*) AS n_docs, count(*) FILTER ({_RULE} = 0) AS n_prose, sum(words)::BIGINT AS words FROM stats GROUP BY source",
+}
 
 
 def fit(spark, sf_dir: str, labelled: int = LABELLED):
