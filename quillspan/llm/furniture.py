@@ -51,6 +51,15 @@ PATTERNS: dict[str, tuple[str, ...]] = {
         r"(?:этот текст|страница) относится к (?:выпуску|версии)\b",
         r"(?:この|本)ページ(?:は|では).{1,60}版.{0,20}(?:説明|対象|もの|ついて)",
     ),
+    # on the page as a whole, unlike the remarks that belong to a section
+    "translation": (
+        r"(?:note\s?: ?)?translations? of this (?:text|page|article) (?:is|are|was|were) (?:made|provided|maintained|done) by\b",
+        r"(?:hinweis\s?: ?)?übersetzungen dieser seite\b",
+        r"(?:remarque\s?: ?)?les traductions de cette page\b",
+        r"(?:nota\s?: ?)?las traducciones de esta página\b",
+        r"(?:примечание\s?: ?)?переводы этой страницы\b",
+        r"(?:注\s?[:：] ?)?このページの翻訳は",
+    ),
     "promotion": (
         r"(?:partner offer|advertisement|promotion|sponsored|sponsor|our partner|from the market|special offer|ad|offer)\s?:",
         r"(?:anzeige|werbung|angebot)\s?:",
@@ -215,7 +224,7 @@ def is_furniture(line: str) -> bool:
     """By its wording; the lines of menus and footers come again on every page of a site."""
     s = normal(line)
     if _ANY.match(s):
-        return not REMARK.match(s)
+        return not REMARK.match(s) or _COMPILED["translation"].match(s) is not None
     return _HOLDS.search(s) is not None and any(text in s and p.match(s) is not None for _, text, p in _HELD)
 
 

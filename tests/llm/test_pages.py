@@ -82,7 +82,7 @@ def test_main_text_lines(spark):
     [
         ("Published by the Abc editors", "byline"), ("Pub​lished by the Abc editors", "byline"), ("12 MIN READ, last touched in 2023", "reading"),
         ("Cette page décrit la version 3 de Abc.", "version"), ("広告：Abcでは", "promotion"), ("Время чтения: 5 минут", "reading"),
-        ("Note: translations of this text are made by volunteers.", None), ("The examples in this section need Abc release 3 or later.", None), (PROSE, None),
+        ("Note: translations of this text are made by volunteers.", "translation"), ("Note: the second run is slower than the first.", None), ("The examples in this section need Abc release 3 or later.", None), (PROSE, None),
     ],
 )
 def test_furniture(line, kind):
