@@ -63,14 +63,14 @@ def with_statistics(documents: DataFrame, common: DataFrame, text: str = "text")
             "__letters": F.length(F.array_join("__w", "")),
             "visible": kept(r"[\s\p{Z}]+"),
             "__symbols": kept(r"[\p{L}\p{M}\p{N}\s\p{Z}]+"),
-            "__digits": kept(r"[^0-9]+"),
+            "__digits": F.length("__t") - F.length(F.translate("__t", "0123456789", "")),
             "__lines": count(r"(?m)^[^\n]*[^\s]"),
             "__ends": count(rf"(?m){_END}[ \t\r]*$"),
             "__marks": count(r"(?m)^[ \t]*(?:[-*+•–][ \t]|[0-9]+(?:\.[0-9]+)*[.)]?[ \t]|\[[^\]\n]*\][ \t]*$|\||```)"),
             "__common": F.size(F.filter("__w", lambda w: w.isin(words))) if words else F.lit(0),
-            "__kana": kept(r"[^ぁ-ゖ]+"),
-            "__separators": count(r"\t|;| [/|·•] "),
-            "__commas": kept(r"[^,]+"),
+            "__kana": F.when(F.col("__t").rlike("[ぁ-ゖ]"), kept(r"[^ぁ-ゖ]+")).otherwise(0),
+            "__separators": F.when(F.col("__t").rlike("[\t;/|·•]"), count(r"\t|;| [/|·•] ")).otherwise(0),
+            "__commas": F.length("__t") - F.length(F.replace("__t", F.lit(","))),
         }
     )
 
