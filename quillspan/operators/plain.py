@@ -12,7 +12,7 @@ from quillspan.operators.markdown import _LANGUAGE, _SPACE, _integer, _Out, html
 from quillspan.operators.options import Options
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # MAX_DEPTH elements, a few frames each
-_LINE_BLOCKS = T._set("li dt dd tr caption summary option legend address")
+_LINE_BLOCKS = T._set("li", "dt", "dd", "tr", "caption", "summary", "option", "legend", "address")
 
 
 class _Text:
