@@ -125,7 +125,12 @@ def match_form(text: str) -> str:
 
     For matching wording against patterns in the same form, never for output.
     """
-    low = fold(text).lower()
+    return match_folded(fold(text))
+
+
+def match_folded(folded: str) -> str:
+    """:func:`match_form` of a folded text."""
+    low = folded.lower()
     if low.isascii():
         return low
     return _CAPITALS.sub(lambda m: _CAPITALS_AS[m[0]], skeleton(low))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from quillspan.llm.folding import match_form, pattern_form
+from quillspan.llm.folding import match_folded, match_form, pattern_form
 
 #: kind -> patterns, matched from the start of a line in lower case with single spaces.
 PATTERNS: dict[str, tuple[str, ...]] = {
@@ -201,9 +201,45 @@ ANYWHERE: tuple[tuple[str, str, str], ...] = (
 )
 
 _COMPILED = {kind: re.compile(pattern_form("|".join(p))) for kind, p in PATTERNS.items()}
-_ANY = re.compile(pattern_form("|".join(f"(?:{'|'.join(p)})" for p in PATTERNS.values())))
+
+
+def _options(pattern: str) -> list[str]:
+    """The alternatives of a pattern."""
+    out, depth, at = [""], 0, 0
+    while at < len(pattern):
+        c = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(c)
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _first(pattern: str) -> set[str]:
+    """The characters that a match of a pattern can begin with, "" for any; its classes of characters hold no brackets or bars."""
+    if len(options := _options(pattern)) > 1:
+        return set().union(*map(_first, options))
+    if pattern.startswith("(?:"):
+        depth = at = 0
+        while True:
+            depth += (pattern[at] == "(") - (pattern[at] == ")")
+            at += 2 if pattern[at] == "\\" else 1
+            if not depth:
+                break
+        return {""} if pattern[at : at + 1] in ("", *"?*{") else _first(pattern[3 : at - 1])
+    return {""} if pattern[:1] in ("", *".\\[(^$") or pattern[1:2] in ("?", "*", "{") else {pattern[0]}
+
+
+def _by_first(patterns: list[str]) -> dict[str, re.Pattern]:
+    """Of each character, the patterns that can match a line which begins with it; at "" those for all others."""
+    firsts = [_first(p) for p in patterns]
+    return {c: re.compile("|".join(f"(?:{p})" for p, f in zip(patterns, firsts, strict=True) if "" in f or c in f)) for c in {""}.union(*firsts)}
+
+
+_ANY = _by_first([o for p in PATTERNS.values() for x in p for o in _options(pattern_form(x))])
 _HELD = tuple((kind, text, re.compile(p)) for kind, text, p in ANYWHERE)
-_HOLDS = re.compile("|".join(re.escape(text) for _, text, _ in ANYWHERE))
 _TARGET = re.compile(r"\]\([^()\s]*\)")
 #: Remarks that belong to a section of the article.
 REMARK = re.compile(
@@ -219,13 +255,41 @@ def normal(line: str) -> str:
     return match_form(s).replace("'", "’")
 
 
+def normals(lines: list[str], folded: str) -> list[str]:
+    """:func:`normal` of lines with single spaces, in one pass over all; ``folded`` is their text, a line each, folded."""
+    if not lines:
+        return []
+    if any("](" in s for s in lines):
+        return match_form("\n".join(_TARGET.sub("", s).replace("[", "") if "](" in s else s for s in lines)).replace("'", "’").split("\n")
+    return match_folded(folded).replace("'", "’").split("\n")
+
+
+def _any(s: str) -> bool:
+    return (_ANY.get(s[:1]) or _ANY[""]).match(s) is not None
+
+
+@lru_cache(1 << 14)
+def _begins(s: str) -> bool:
+    return _any(s) and (not REMARK.match(s) or _COMPILED["translation"].match(s) is not None)
+
+
+def _holds(s: str) -> bool:
+    return not _any(s) and any(text in s and p.match(s) is not None for _, text, p in _HELD)
+
+
+def worded(forms: list[str | None]) -> list[bool]:
+    """:func:`is_furniture` of lines in their form for matching; None is no furniture."""
+    found = [s is not None and _begins(s) for s in forms]
+    whole = "\n".join(filter(None, forms))
+    if any(text in whole for _, text, _ in _HELD):
+        found = [x or (s is not None and _holds(s)) for x, s in zip(found, forms, strict=True)]
+    return found
+
+
 @lru_cache(1 << 14)
 def is_furniture(line: str) -> bool:
     """By its wording; the lines of menus and footers come again on every page of a site."""
-    s = normal(line)
-    if _ANY.match(s):
-        return not REMARK.match(s) or _COMPILED["translation"].match(s) is not None
-    return _HOLDS.search(s) is not None and any(text in s and p.match(s) is not None for _, text, p in _HELD)
+    return worded([normal(line)])[0]
 
 
 def kind_of(line: str) -> str | None:

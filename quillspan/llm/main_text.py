@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quillspan.llm.furniture import is_furniture
 from quillspan.llm.page_text import Page, line_key
@@ -37,9 +38,7 @@ BLANK, TEXT, FURNITURE, RULE, CODE = range(5)
 
 
 def _signed(key: str) -> int:
-    import xxhash
-
-    n = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+    n = xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
     return n - (1 << 64) if n >= 1 << 63 else n
 
 

@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,10 +89,14 @@ ANCHORS = (24, 8, 2)
 KEY_SLOTS = 1 << 20
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{2}|\w+")
 _VARIABLE = re.compile(r"[._]|^[A-Z]+$|^\d+$")
-_COINED = re.compile(r"\b[A-Z][\w’-]*")
-_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
-_DIGITS = re.compile(r"\d+")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+# the patterns begin with a class of characters, which the regular expression engine looks for much faster than for an assertion
+_COINED = re.compile(r"[A-Z](?<!\w[A-Z])[\w’-]*")
+_HEX = re.compile(r"[0-9a-f](?<!\w[0-9a-f])(?:(?<=\d)|(?=[0-9a-f]*\d))[0-9a-f]{5,}\b")
+#: What stands in every word that ``_HEX`` finds, but those of digits alone.
+_HEX_PAIR = re.compile(r"\d(?:(?<=[a-f]\d)|[a-f])")
+_DIGITS = re.compile(r"\d\d*")
+#: The end of a sentence with the space after it; lines stay apart.
+_END = re.compile(r"([.!?…。！？])(?:(?<=[.!?…])[^\S\n]+|(?<=[。！？])[^\S\n]*)")
 _LATIN = re.compile(r"[a-z]+")
 _REFERENCE = re.compile(
     pattern_form(r"(?:reference|incident|ray|event id|code|kennung|código|référence|код|stack|trace|request id|error code|番号|識別番号|参照)(?:\W.{0,60})?$")
@@ -142,15 +147,16 @@ LOREM = frozenset(
 
 def _is_filler_latin(text: str) -> bool:
     words = _LATIN.findall(text)
-    return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.7 * len(words)
+    return len(words) >= 4 and sum(map(LOREM.__contains__, words)) >= 0.7 * len(words)
 
 
 def bad_share(sentences: list[str], texts: list[str]) -> float:
     """The share of the characters that stand in sentences of error pages, script demands or filler; both in one form."""
     bad = other = 0
     half = sum(map(len, sentences)) / 2
-    if any(_is_filler_latin(x) for x in texts):
-        sentences = [s for x in texts if not _is_filler_latin(x) for s in _SENTENCE.split(x) if s]
+    # a text of filler has three of its words at least
+    if sum(map(LOREM.__contains__, _LATIN.findall("\n".join(texts)))) > 2 and any(map(_is_filler_latin, texts)):
+        sentences = [s for s in _apart("\n".join(x for x in texts if not _is_filler_latin(x))).split("\n") if s]
         bad = sum(len(x) for x in texts if _is_filler_latin(x))
     for s in sentences:
         if _REFERENCE.match(s):
@@ -167,7 +173,7 @@ def bad_share(sentences: list[str], texts: list[str]) -> float:
 
 
 def _masked(text: str) -> str:
-    return _DIGITS.sub("0", _HEX.sub("0", text))
+    return _DIGITS.sub("0", _HEX.sub("0", text) if _HEX_PAIR.search(text) else text)
 
 
 def slots(line: str) -> list[tuple[str, str, bool]]:
@@ -255,13 +261,32 @@ _ARROW = [
     pa.list_(pa.struct([("key", pa.int64()), ("ends", pa.int32()), ("pattern", pa.string()), ("own", pa.string()), ("least", pa.int32())])),
 ]
 _NAMES = [x.split()[0] for x in _SCHEMA.replace("struct<key: bigint, ends: int, pattern: string, own: string, least: int>", "x").split(", ")]
-#: Where a mark, a default or a blank may stand at all; most texts have none and are not taken apart.
-_SUSPECT = re.compile(rf"{_HINT.pattern}|{_DEFAULT_HINT.pattern}| [,.](?:\s|$)|(?m:^[{_OPEN_END}])|[{_OPEN_END}](?m:$)|{_EMPTY.pattern}|[.!?…。！？]\s*[{_OPEN_END}]|[{_OPEN_END}][.!?…]")
+#: One of these stands in each text that ``_HINT`` finds something in.
+_HINTS = ("{", "%", "@", "[", "<", "_", "((", "TODO", "REPLACE")
+#: How defaults begin.
+_YOURS = re.compile("[yYuU](?:[oO][uU][rR] |(?i:ntitled))")
+#: Where lines begin and end with what a blank leaves.
+_OPEN_ENDS = tuple(x for c in _OPEN_END for x in (f"\n{c}", f"{c}\n"))
 
 
-def _sentences(text: str) -> dict[str, None]:
-    """The sentences of a folded text, a block a line, each once, in order."""
-    return {s: None for x in text.split("\n") for s in _SENTENCE.split(x) if s}
+def _seems_missing(apart: str) -> bool:
+    """Whether defaults or blanks may stand in a text of a sentence a line; most texts have none and are not taken apart."""
+    return (
+        (_YOURS.search(apart) is not None and _DEFAULT_HINT.search(apart) is not None) or " ," in apart or " ." in apart or apart[:1] in _OPEN_END or apart[-1:] in _OPEN_END or any(x in apart for x in _OPEN_ENDS)
+        or _EMPTY.search(apart) is not None
+    )
+
+
+def _apart(text: str) -> str:
+    """The text, a block a line, with a line for each sentence."""
+    return _END.sub(r"\1\n", text)
+
+
+def _lines(text: str) -> dict[str, None]:
+    """The lines of a text but empty ones, each once, in order."""
+    lines = dict.fromkeys(text.split("\n"))
+    lines.pop("", None)
+    return lines
 
 
 def _one_line(text: str) -> str:
@@ -270,7 +295,7 @@ def _one_line(text: str) -> str:
 
 def _scan_page(title: str | None, html: str | None) -> tuple:
     """What one page shows by itself, from ``syntax`` on in the order of ``_SCHEMA``."""
-    running = [_one_line(title)] if title and title.strip() else []
+    running = [fold(_one_line(title))] if title and title.strip() else []
     with_code: list[str] = []
     less: list[str] = []
     head = ""
@@ -278,46 +303,46 @@ def _scan_page(title: str | None, html: str | None) -> tuple:
     if html and html.strip():
         page = Page(html)
         inside = page.main()
-        for (text, at, kind, outside), worded in zip(page.blocks, page.furniture, strict=True):
+        for (text, at, kind, outside), worded, folded, form in zip(page.blocks, page.furniture, page.folded, page.forms, strict=True):
             if at not in inside or kind == "pre":
                 continue
             if outside is text or (outside := _one_line(outside)) == text:
-                running.append(text)
+                running.append(folded)
             else:
-                running.append(outside)
+                running.append(fold(outside))
                 if outside.replace(" ", "") != text.replace(" ", ""):
                     with_code.append(text)
                     less.append(outside)
-            if worded:
-                continue
-            form = normal(text)
-            if REMARK.match(form):
+            if worded or REMARK.match(form):
                 continue
             if kind == "h1":
                 head = form
             else:
                 whole.append(form)
-    shown = fold("\n".join(running))
+    shown = "\n".join(running)
     coded = fold("\n".join(with_code)) if with_code else ""
     syntax = False
     marks: dict[tuple[int, int], None] = {}  # each template and name of the page once
     gaps: list[dict] = []
-    if _SUSPECT.search(shown):
-        plain = _sentences(shown)
-        for x in plain:
-            if _HINT.search(x):
-                for template, name, strong in slots(x):
-                    syntax = syntax or strong or bool(_VARIABLE.search(name.strip("[](){}%_"))) or not template.strip("\0 .,:;!?|–-")
-                    marks[_signed(template), _signed(name)] = None
-        if not syntax:
+    apart = _apart(shown)
+    hinted, missing = any(x in shown for x in _HINTS), _seems_missing(apart)
+    if hinted or missing:
+        plain = _lines(apart)
+        if hinted:
+            for x in plain:
+                if _HINT.search(x):
+                    for template, name, strong in slots(x):
+                        syntax = syntax or strong or bool(_VARIABLE.search(name.strip("[](){}%_"))) or not template.strip("\0 .,:;!?|–-")
+                        marks[_signed(template), _signed(name)] = None
+        if not syntax and (missing or marks):
             # what code leaves empty in the running text is no blank
-            beside_code = set(_sentences(fold("\n".join(less)))).difference(_sentences(coded)) if less else ()
+            beside_code = set(_lines(_apart(fold("\n".join(less))))).difference(_lines(_apart(coded))) if less else ()
             gaps = [y for x in plain for y in patterns(x, not coded or x not in beside_code)]
     key, own_title, wording = None, False, False
     parts: list[str] = []
     if whole:
         text = "\n".join(whole)
-        given = [s for x in whole for s in _SENTENCE.split(x) if s]
+        given = [s for s in _apart(text).split("\n") if s]
         wording = bad_share(given, whole) >= 0.5
         parts = list(dict.fromkeys(_masked("\n".join(given)).split("\n")))
         key = _signed("\n".join(sorted(parts)))
@@ -326,7 +351,7 @@ def _scan_page(title: str | None, html: str | None) -> tuple:
         wording = bool(_BAD.match(head))
     return (
         syntax, wording, key, own_title, [_signed(x) for x in parts], [len(x) for x in parts],
-        [t for t, _ in marks], [n for _, n in marks], f"{shown}\n{coded}" if coded else shown, gaps,
+        [t for t, _ in marks], [n for _, n in marks], f"{apart}\n{_apart(coded)}" if coded else apart, gaps,
     )
 
 
@@ -339,21 +364,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines_near(ends: bytes, keys: bytes):
-    """Lines of ``(page_id, text)`` that meet a pattern by their first or last characters: two sketches, of two characters and of all."""
+    """Lines (sentences) of ``(page_id, text)`` that meet a pattern by their first or last characters: two sketches, of two characters and of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(1 << 14)(lambda two, end: _has(ends, _ends(two) ^ end))
+        backwards = tuple(-n for n in ANCHORS)
         for batch in batches:
             rows = []
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = list(_sentences(text))
+                raw = list(_lines(text))
                 if not raw:
                     continue
                 for line, own in zip(_coined("\n".join(raw)).split("\n"), raw, strict=True):
                     if len(line) < 2:
                         continue
-                    places = ANCHORS if _has(ends, _ends(line[:2])) else ()
-                    if _has(ends, _ends(line[-2:]) ^ 1):
-                        places += tuple(-n for n in ANCHORS)
+                    places = ANCHORS if known(line[:2], 0) else ()
+                    if known(line[-2:], 1):
+                        places += backwards
                     for n in places:
                         if len(line) >= abs(n):
                             k = _key(n, line[:n] if n > 0 else line[n:])

@@ -1,11 +1,15 @@
 """Problems 3 and 4: main text, furniture, residue."""
 
 import datetime as dt
+import re
+import sys
+from collections import Counter
 
 import pytest
 
 from quillspan.llm import main_text, residue
-from quillspan.llm.furniture import is_furniture, kind_of
+from quillspan.llm.folding import pattern_form
+from quillspan.llm.furniture import PATTERNS, _any, is_furniture, kind_of, normal
 from quillspan.llm.page_text import Page
 
 PROSE = "The output buffer keeps the order of the source on slow connections, and the crawler opens a new section after the first pass."
@@ -161,3 +165,42 @@ def test_long_page_templates(spark):
     rows = [(i, t, f"<h1>Gone fishing</h1><p>{closed}</p>") for i, t in enumerate(["Install Xyz", "Vocabulary files", "Buffers"])]
     rows += [(10 + i, f"The output buffer | Site{i}", f"<h1>The output buffer</h1><p>{PROSE * 6}</p>") for i in range(3)]
     assert len(closed) > 600 and {(r.page_id, r.reason) for r in residue.residue_pages(_pages(spark, rows)).collect()} == {(i, "template") for i in range(3)}
+
+
+def test_a_page_is_brought_to_one_form_at_once():
+    """Folding and matching forms run over the lines of a page together, not line by line."""
+    lines = "".join(f"<p>Der {n}. Satz – über Größe {n}</p>" for n in range(300))
+    calls: Counter = Counter()
+    sys.setprofile(lambda frame, event, _: calls.update([frame.f_code.co_name] if event == "call" else ()))
+    try:
+        residue._scan_page("Größe", f"<h1>Größe</h1>{lines}")
+    finally:
+        sys.setprofile(None)
+    assert calls["_scan_page"] == 1 and calls["fold"] + calls["normal"] + calls["match_form"] + calls["skeleton"] < 10
+    page = Page(PAGE + "<p>Ｐublished\u200b by the Abc editors</p><p>[Written](/x) by the Abc team</p><p>Переводы этой страницы делают добровольцы</p><p>A: no answers yet</p>")
+    shown = [(b[0], form, worded) for b, form, worded in zip(page.blocks, page.forms, page.furniture, strict=True) if form is not None]
+    assert len(shown) == len([b for b in page.blocks if b[2] != "pre"]) > 10
+    assert all(form == normal(x) and worded == is_furniture(x) for x, form, worded in shown) and [x[2] for x in shown[-4:]] == [True] * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("a < b <p>x<y", ["a < b"]), ("<p>a</p", []), ('<a title="<!-- x -->">k</a>z', ['">kz']), ("<<!-- x -->y", ["<y"]), ("<!-->text-->u", ["u"]), ("<script>x", []),
+        ("<SCRIPT src=x>1<2</ScRiPt>u<style-x>q</style>v", ["uv"]), ("</ x>a</>b<?php x ?>c<!d [<!e f>]>g", ["abc]>g"]), ("a<b", []), ("< p>x<br/>y", ["< p>x", "y"]), ('<p a="1>2">x', ['2">x']),
+    ],
+)
+def test_odd_tokens(html, texts):
+    assert [b[0] for b in Page(html).blocks] == texts
+
+
+def test_patterns_that_are_looked_for_faster():
+    """The forms that begin with a class of characters, and the patterns by first character, find what the plain ones find."""
+    text = "A bC Dé’s x1a2b3 deadbeef 12ab34 1234567 zabc123 éAb\nA.  B…c! d。e？！ f\n. g ٣abcdef1 abcdef٣ Xy-9Z"
+    assert residue._COINED.sub("N", text) == re.sub(r"\b[A-Z][\w’-]*", "N", text)
+    assert residue._masked(text) == re.sub(r"\d+", "0", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0", text))
+    cut = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+    assert list(residue._lines(residue._apart(text))) == [s for x in text.split("\n") for s in cut.split(x) if s]
+    whole = re.compile(pattern_form("|".join(x for p in PATTERNS.values() for x in p)))
+    lines = [normal(x) for x in (*MARKDOWN.split("\n"), "12 min read", "about 3 min read", "By A · 3", "подписаться на новости", "¿Le ha sido útil?", "## More posts by X", "Xのほかの記事", "other", "", "©")]
+    assert [_any(x) for x in lines] == [bool(whole.match(x)) for x in lines]
